@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, ftrl_quality, packing, rules, shards, toxicity, warc
+from graphloom.llm import bpe, ftrl_quality, grid_join, packing, rules, shards, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_join.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_revisits": op1_warc_revisits,
     "op3_ftrl_quality": op3_ftrl_quality,
@@ -57,4 +61,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_toxicity_cnn": op8_toxicity_cnn,
     "op9_quality_rules": op9_quality_rules,
+    "op10_grid_order_join": op10_grid_order_join,
 }
