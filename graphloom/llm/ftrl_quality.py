@@ -155,23 +155,27 @@ def score_texts(model: tuple[np.ndarray, float], texts: list[str | None]) -> lis
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, rows: int = TRAIN_ROWS, id: str = "doc_id", text: str = "text", label: str = "quality", keep: list[str] | None = None) -> DataFrame:
     """Score every whole text: id, held_out, score, predicted (1 if score >= 0.3).
 
-    ``keep`` names columns of ``docs`` to carry through instead of the id. A null text counts
+    ``keep`` names columns of ``docs`` to carry through instead of the id; they are not called
+    held_out, score or predicted. A null text counts
     as empty; empty texts share one feature and get its score. Null ids are scored and never
     learned from. Labels outside 0 and 1 are not learned. Repeated rows are scored repeatedly.
     """
     model = learn(docs, labels, folds, fold, rows, id, text, label)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     carried = keep or [id]
-    rows_in = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(carried)])
-    schema = ", ".join(f"_{i} {dict(docs.dtypes)[c]}" for i, c in enumerate(carried)) + ", score double"
+    others = [c for c in carried if c != text]
+    kinds = dict(docs.dtypes)
+    names = ["_text"] * (text in carried) + [f"_{i}" for i in range(len(others))]
+    schema = ", ".join(f"{n} {kinds[c]}" for n, c in zip(names, [text] * (text in carried) + others, strict=True)) + ", score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(0)):
                 part = batch.slice(a, b - a)
                 s = score_texts(sent.value, part.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(s, pa.float64())], [*part.schema.names[1:], "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[text not in carried :], pa.array(s, pa.float64())], [*names, "score"])
 
-    got = rows_in.mapInArrow(run, schema)
-    named = got.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(carried)], F.col("score"))
-    return named.select(*carried, held_out(F.col(id), folds, fold).alias("held_out") if id in carried else F.lit(None).cast("boolean").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    got = docs.select(F.col(text).alias("_text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(others)]).mapInArrow(run, schema)
+    own = {c: F.col(f"_{i}") for i, c in enumerate(others)} | {text: F.col("_text")}
+    out = held_out(own[id], folds, fold) if id in carried else F.lit(None).cast("boolean")
+    return got.select(*[own[c].alias(c) for c in carried], out.alias("held_out"), F.col("score"), (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, ftrl_quality, grid_join, packing, rules, shards, toxicity, warc
+from graphloom.llm import bpe, ftrl_quality, grid_join, jaccard, packing, rules, shards, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op5_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), 3, 90).drop("mark")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ftrl_quality": op3_ftrl_quality,
     "op4_bpe": op4_bpe,
     "op5_balanced_shards": op5_balanced_shards,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_toxicity_cnn": op8_toxicity_cnn,
     "op9_quality_rules": op9_quality_rules,
