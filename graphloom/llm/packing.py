@@ -19,11 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.bpe import REMEMBERED, chunks_of, slices
+from graphloom.llm.bpe import WORD_END, chunks_of, slices
 from graphloom.llm.common import row_rank, written
 
 CAPACITY = 4096
 END_ID = 1
+#: Chunks of one generation. A full table becomes the old one, from which chunks that occur
+#: again are taken over; so a worker remembers twice as many at most.
+REMEMBERED = 400_000
+#: Marks that are split from the end of a word before it is looked up.
+ALL_MARKS = ".,;:!?*$%&#|\"()"
+MARKS = frozenset(ALL_MARKS)
 #: Chunks that are given to the library in one call.
 AT_ONCE = 1000
 
@@ -32,7 +38,8 @@ class LibraryIds:
     """Ids of texts by the tokenizers library, as little-endian 32-bit bytes.
 
     White space separates tokens, so a chunk between white space has the same ids wherever it
-    stands; chunks that were met before come from a bounded table.
+    stands; chunks that were met before come from a bounded table. A new chunk is looked up
+    without its closing marks first: after a letter they are tokens of their own.
     """
 
     def __init__(self, path: str):
@@ -42,22 +49,60 @@ class LibraryIds:
         self.t = Tokenizer.from_file(path)
         self.t.no_truncation()
         self.t.no_padding()
+        words = self.t.get_vocab()
+        self.ends = np.zeros(max(words.values()) + 1, bool)
+        self.ends[[i for w, i in words.items() if w.endswith(WORD_END)]] = True
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _recall(self, chunks: set[str]) -> set[str]:
+        """Those of the chunks that neither generation knows; the old one's are taken over."""
+        new = chunks.difference(self.known)
+        if self.old and new:
+            again = new.intersection(self.old)
+            self.known.update(zip(again, map(self.old.__getitem__, again), strict=True))
+            new -= again
+        return new
 
     def learn(self, chunks: set[str]) -> None:
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [c for c in chunks if c not in self.known]
-        for a in range(0, len(new), AT_ONCE):
-            part = new[a : a + AT_ONCE]
+            self.old, self.known = self.known, {}
+        known, marks = self.known, MARKS
+        need, marked, cased = set(), [], []
+        for c in self._recall(chunks):
+            low = c.lower() if c.isascii() else c
+            if low[-1] in marks:
+                core = low.rstrip(ALL_MARKS)
+                if core and core[-1].isalpha():
+                    need.add(core)
+                    need.add(low[len(core) :])
+                    marked.append((c, core, low[len(core) :]))
+                    continue
+            need.add(low)
+            if low is not c:
+                cased.append((c, low))
+        need = self._recall(need)
+        words = {c for c in need if c.isalpha()}
+        self._ask([*words], True)
+        self._ask([*need.difference(words)], False)
+        for c, low in cased:
+            known[c] = known[low]
+        for c, core, tail in marked:
+            known[c] = known[core] + known[tail]
+
+    def _ask(self, chunks: list[str], single: bool) -> None:
+        """Have the library encode chunks; ``single`` ones are words that end once."""
+        for a in range(0, len(chunks), AT_ONCE):
+            part = chunks[a : a + AT_ONCE]
             got = self.t.encode(" ".join(part), add_special_tokens=False)
             ids = np.array(got.ids, "<u4")
-            begins = np.fromiter((o[0] for o in got.offsets), np.int64, len(ids))
-            ends = np.cumsum([len(c) + 1 for c in part])
-            cuts = np.searchsorted(begins, ends).tolist()
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if not single or len(cuts) != len(part):
+                begins = np.fromiter((o[0] for o in got.offsets), np.int64, len(ids))
+                cuts = np.searchsorted(begins, np.cumsum([len(c) + 1 for c in part]))
             raw, start = ids.tobytes(), 0
-            for c, end in zip(part, cuts, strict=True):
-                self.known[c] = raw[4 * start : 4 * end]
+            for c, end in zip(part, (4 * cuts).tolist(), strict=True):
+                self.known[c] = raw[start:end]
                 start = end
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
@@ -65,7 +110,7 @@ class LibraryIds:
         self.learn(set().union(*cut))
         known = self.known
         for c in cut:
-            yield b"".join([known[x] for x in c])
+            yield b"".join(map(known.__getitem__, c))
 
 
 _ids: dict[str, LibraryIds] = {}
