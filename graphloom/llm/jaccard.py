@@ -13,8 +13,8 @@ How the data move:
 - Signatures travel packed, some bytes each, to buckets of a bounded number of signatures. A
   bucket pairs the classes that share a signature if they are few; a larger group gives a star
   and is remembered.
-- A 64-byte histogram of a set's hashes bounds how much two sets can have in common; pairs
-  that it excludes are dropped before any set is moved.
+- A histogram of a set's hashes (a byte for every few) bounds how much two sets can have in
+  common; pairs that it excludes are dropped before any set is moved.
 - Sets are moved for candidate pairs only: first each class with its best partner, then the
   pairs that are still in different components.
 - Groups that were too large to pair are compared by their histograms, in blocks, wherever
@@ -43,8 +43,10 @@ FEW = 16
 GROUP_BLOCK = 2048
 #: Signatures of a bucket, about.
 BUCKET = 1_500_000
-#: Pieces of the hash domain in a set's histogram.
-BINS = 64
+#: Pieces of the hash domain in a small set's histogram; a power of two.
+BINS = 256
+#: Rounds in which each component of a large group meets its nearest neighbour.
+ROUNDS = 4
 #: Words that a worker remembers; beyond it the table starts anew.
 REMEMBERED = 300_000
 #: Characters of text whose signatures are packed together.
@@ -96,12 +98,25 @@ def set_key(h: np.ndarray) -> int:
 
 
 def histogram(h: np.ndarray) -> bytes:
-    """How many hashes lie in each of BINS pieces of the domain, 255 at most.
+    """How many hashes lie in each piece of the domain, 255 at most; four a piece or fewer.
 
     The sum of two histograms' differences never exceeds the number of elements that the sets
-    differ in.
+    differ in, and of unrelated sets it is far more than similar sets may have.
     """
-    return np.minimum(np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+    bits = max(BINS.bit_length() - 1, (len(h) // 4).bit_length())
+    return np.minimum(np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def folded(x: np.ndarray, bins: int) -> np.ndarray:
+    """The same set's histogram with fewer pieces."""
+    return x if len(x) == bins else np.minimum(x.reshape(bins, -1).sum(1, dtype=np.int64), 255).astype(np.uint8)
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> int:
+    """The least number of elements that sets with these histograms differ in."""
+    bins = min(len(x), len(y))
+    x, y = folded(x, bins), folded(y, bins)
+    return int((np.maximum(x, y) - np.minimum(x, y)).sum(dtype=np.int64))
 
 
 def bands(percent: int, largest: int) -> list[tuple[int, int, int]]:
@@ -243,11 +258,9 @@ def meet(table: pa.Table) -> pa.Table:
     return pa.table({"a": np.concatenate((a[edge], group)), "b": np.concatenate((b[edge], key[large])), "w": np.concatenate((w, np.zeros(len(group), np.int64)))})
 
 
-def near_histograms(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets with these histograms and sizes can be similar (arrays that broadcast)."""
-    differ = np.abs(x.astype(np.int16) - y.astype(np.int16)).sum(-1, dtype=np.int64)
-    total = nx + ny
-    return ((100 + percent) * differ <= (100 - percent) * total) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
+def within(differ: np.ndarray, nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes can be similar if they differ in so many elements at least."""
+    return ((100 + percent) * differ <= (100 - percent) * (nx + ny)) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
 
 
 def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -258,8 +271,8 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (0, 1))
-            keep = near_histograms(x, y, batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
+            differ = [apart(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            keep = within(np.array(differ, np.int64), batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
             yield pa.RecordBatch.from_arrays(batch.columns[4:], names).filter(pa.array(keep))
 
     return rows.select("s_a", "s_b", "n_a", "n_b", *names).mapInArrow(run, pairs.schema)
@@ -303,11 +316,12 @@ def labelled(rows: DataFrame, comps: DataFrame, key: str, out: str) -> DataFrame
     return rows.join(known, key, "left").withColumn(out, F.coalesce("_c", key)).drop("_c")
 
 
-def large_pairs(members: DataFrame, classes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+def large_pairs(members: DataFrame, classes: DataFrame, comps: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Plausible pairs in different components inside the large groups.
 
     ``members`` (a: group, b: key). Groups within one component are done. The others are cut
-    into blocks, and each two blocks of a group are compared in one task by histograms.
+    into blocks, and each two blocks of a group are compared in one task by histograms. With
+    ``nearest`` each component gives its nearest plausible pair only.
     """
     rows = written(labelled(members, comps, "b", "comp"), "members")
     mixed = rows.groupBy("a").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("a", "m")
@@ -319,18 +333,34 @@ def large_pairs(members: DataFrame, classes: DataFrame, comps: DataFrame, percen
 
     def run(table: pa.Table) -> pa.Table:
         key, comp, n, block = (table[c].to_numpy() for c in ("b", "comp", "n", "block"))
-        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
+        full = [np.frombuffer(x, np.uint8) for x in table["sketch"].to_pylist()]
+        sketch = np.stack([folded(x, BINS) for x in full])
         first, last = table["p"][0].as_py(), table["q"][0].as_py()
         x, y = np.flatnonzero(block == first), np.flatnonzero(block == last)
-        a, b = [], []
-        for s in range(0, len(x), 64):
-            i = x[s : s + 64]
-            near = near_histograms(sketch[i][:, None], sketch[y][None], n[i][:, None], n[y][None], percent) & (comp[i][:, None] != comp[y][None])
-            u, v = np.nonzero(near)
-            a.append(np.minimum(key[i[u]], key[y[v]]))
-            b.append(np.maximum(key[i[u]], key[y[v]]))
-        got = np.unique(np.stack((np.concatenate(a), np.concatenate(b)), 1), axis=0) if a else np.zeros((0, 2), np.int64)
-        return pa.table({"a": np.ascontiguousarray(got[:, 0]), "b": np.ascontiguousarray(got[:, 1])})
+        got = [np.zeros((0, 5), np.int64)]
+        for i in x:
+            # Sizes and components first: histograms are compared only where they can matter.
+            j = y[(comp[y] != comp[i]) & (100 * np.minimum(n[y], n[i]) >= percent * np.maximum(n[y], n[i]))]
+            if first == last:
+                j = j[j > i]
+            differ = (np.maximum(sketch[i], sketch[j]) - np.minimum(sketch[i], sketch[j])).sum(-1, dtype=np.int64)
+            j = j[within(differ, n[i], n[j], percent)]
+            differ = np.array([apart(full[i], full[k]) for k in j], np.int64)
+            ok = within(differ, n[i], n[j], percent)
+            j, differ = j[ok], differ[ok]
+            if nearest and len(j):
+                j, differ = j[[differ.argmin()]], differ[[differ.argmin()]]
+            got.append(np.stack((np.full(len(j), key[i]), key[j], comp[j], differ, np.full(len(j), comp[i])), 1))
+        found = np.concatenate(got)
+        if nearest and len(found):
+            # Of the pairs found, the nearest for each component on either side.
+            keep = set()
+            for side in (found[:, 4], found[:, 2]):
+                order = np.lexsort((found[:, 3], side))
+                keep.update(order[np.concatenate(([True], side[order][1:] != side[order][:-1]))].tolist())
+            found = found[sorted(keep)]
+        a, b = np.minimum(found[:, 0], found[:, 1]), np.maximum(found[:, 0], found[:, 1])
+        return pa.table({"a": a, "b": b})
 
     return rows.groupBy("a", "p", "q").applyInArrow(run, "a long, b long").distinct()
 
@@ -366,10 +396,24 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90, id: str = "doc_id",
         similar = written(similar.union(verified(rest, docs, classes, words, percent, id, text)), "similar")
         comps = components(similar)
     members = met.where("w = 0").select("a", "b")
+    tried = pairs.select("a", "b")
     if not members.isEmpty():
-        more = written(large_pairs(members, classes, comps, percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "more")
-        if not more.isEmpty():
-            comps = components(similar.union(verified(more, docs, classes, words, percent, id, text)))
+        # Few pairs merge most components; what they leave apart is then compared in full.
+        nearest, turn = True, 0
+        while True:
+            more = written(large_pairs(members, classes, comps, percent, nearest).join(tried, ["a", "b"], "left_anti"), "more")
+            merged = False
+            if not more.isEmpty():
+                found = verified(more, docs, classes, words, percent, id, text)
+                tried = written(tried.union(more), "tried")
+                merged = not found.isEmpty()
+                if merged:
+                    similar = written(similar.union(found), "similar")
+                    comps = components(similar)
+            if not nearest:
+                break
+            turn += 1
+            nearest = merged and turn < ROUNDS
 
     known = labelled(classes.select("key", "least"), comps, "key", "comp")
     lowest = written(known.groupBy("comp").agg(F.min("least").alias("component")), "lowest")

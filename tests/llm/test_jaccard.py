@@ -106,3 +106,16 @@ def test_similar_sets_share_a_signature():
                 common = len(np.intersect1d(a, b))
                 if 100 * common >= percent * (len(a) + len(b) - common) and not np.array_equal(a, b):
                     assert len(np.intersect1d(jaccard.signatures(a, percent), jaccard.signatures(b, percent)))
+
+
+def test_histograms_never_exclude_similar_sets():
+    rng = np.random.default_rng(2)
+    for size in (30, 900, 1100, 5000, 9000):
+        for _ in range(10):
+            a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
+            b = np.unique(np.concatenate((rng.permutation(a)[rng.integers(0, size // 2) :], rng.integers(0, 1 << 63, rng.integers(0, size // 2), dtype=np.uint64) * np.uint64(2))))
+            x, y = (np.frombuffer(jaccard.histogram(v), np.uint8) for v in (a, b))
+            assert jaccard.apart(x, y) <= len(np.setxor1d(a, b))
+        c = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
+        far = jaccard.apart(np.frombuffer(jaccard.histogram(a), np.uint8), np.frombuffer(jaccard.histogram(c), np.uint8))
+        assert not jaccard.within(np.array([far]), np.array([len(a)]), np.array([len(c)]), 80)[0]
