@@ -22,7 +22,7 @@ from graphloom.llm.bpe import slices
 #: Weights: 2 ** BITS.
 BITS = 18
 #: Labelled rows that are learned from, at most. They are those with the least hash of the id.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 4000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-3
 #: Words that a worker remembers; beyond it the table starts anew.
@@ -82,11 +82,16 @@ def features(text: str, bits: int = BITS) -> np.ndarray:
     return ((np.concatenate(parts) * _M1) >> np.uint32(32 - bits)).astype(np.int64)
 
 
-def train(texts: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epochs: int = EPOCHS, seed: int = 1) -> tuple[np.ndarray, float]:
-    """Weights and bias by FTRL-proximal updates, one text at a time."""
+def counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct features and how often each occurs."""
+    at, count = np.unique(x.astype(np.int32), return_counts=True)
+    return at, count.astype(np.float32)
+
+
+def train(sparse: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int = BITS, epochs: int = EPOCHS, seed: int = 1) -> tuple[np.ndarray, float]:
+    """Weights and bias by FTRL-proximal updates, one text (features, counts) at a time."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     zb = nb = 0.0
-    sparse = [np.unique(x, return_counts=True) for x in texts]
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in order.permutation(len(sparse)):
@@ -133,14 +138,15 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, row
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 part = batch.slice(a, b - a)
-                got = [features(t or "").astype(np.int32) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([x.tobytes() for x in got], pa.binary())], ["id", "label", "x"])
+                got = [counted(features(t or "")) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *[pa.array([x[k].tobytes() for x in got], pa.binary()) for k in (0, 1)]], ["id", "label", "x", "n"])
 
-    got = chosen.mapInArrow(run, f"id {dict(chosen.dtypes)['id']}, label int, x binary").toPandas().sort_values("id")
-    y = got["label"].to_numpy(float)
+    got = chosen.mapInArrow(run, f"id {dict(chosen.dtypes)['id']}, label int, x binary, n binary").toArrow().sort_by("id")
+    y = got["label"].to_numpy().astype(float)
     if len(set(y)) < 2:
         return np.zeros(1 << BITS, np.float32), 0.0
-    return train([np.frombuffer(x, np.int32).astype(np.int64) for x in got["x"]], y)
+    views = [[np.frombuffer(v.as_buffer(), kind) for v in got[c]] for c, kind in (("x", np.int32), ("n", np.float32))]
+    return train(list(zip(*views, strict=True)), y)
 
 
 def score_texts(model: tuple[np.ndarray, float], texts: list[str | None]) -> list[float]:

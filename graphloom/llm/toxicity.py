@@ -243,8 +243,8 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, row
                 got = [text_rows(t or "") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([k for _, k in got], pa.int32()), pa.array([x.tobytes() for x, _ in got], pa.binary())], ["id", "label", "language", "x"])
 
-    got = chosen.mapInArrow(run, f"id {dict(chosen.dtypes)['id']}, label int, language int, x binary").toPandas().sort_values("id")
-    return fit([np.frombuffer(x, np.int32).reshape(-1, 3) for x in got["x"]], got["language"].to_numpy(), got["label"].to_numpy(float))
+    got = chosen.mapInArrow(run, f"id {dict(chosen.dtypes)['id']}, label int, language int, x binary").toArrow().sort_by("id")
+    return fit([np.frombuffer(x.as_buffer(), np.int32).reshape(-1, 3) for x in got["x"]], got["language"].to_numpy(), got["label"].to_numpy().astype(float))
 
 
 def score_texts(m: Model, texts: list[str | None]) -> np.ndarray:

@@ -54,5 +54,5 @@ def test_best_limit():
 def test_ftrl_learns_and_stays_sparse():
     rng = np.random.default_rng(0)
     texts = [rng.integers(0, 500, 30) + (1000 if i % 2 else 0) for i in range(200)]
-    w, _ = ftrl_quality.train(texts, np.arange(200) % 2 * 1.0, bits=12)
+    w, _ = ftrl_quality.train([ftrl_quality.counted(x) for x in texts], np.arange(200) % 2 * 1.0, bits=12)
     assert w[1000:1500].mean() > 0 > w[:500].mean() and (w[2000:] == 0).all()
