@@ -57,16 +57,19 @@ def utf8(text: Column) -> Column:
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")
 
 
-def row_rank(df: DataFrame, keys: list[str], order: list[str], out: str, buckets: int = 1024) -> DataFrame:
+def row_rank(df: DataFrame, keys: list[str], order: list[str], out: str, buckets: int = 1024, bucket: Column | None = None) -> DataFrame:
     """Add ``out``: the row's 0-based, gapless rank among the rows with equal ``keys``.
 
+    Ranks follow the hash bucket, then ``order``. With ``bucket``, an integer expression that
+    does not fall along ``order``, they follow ``order`` itself.
+
     A window over ``keys`` alone would put a hot key's rows into one task. Here rows are dealt
     over ``buckets`` by a hash of the ``order`` columns, ranked inside (keys, bucket), and
     shifted by the number of rows in earlier buckets, which come from one pre-aggregated count.
     ``df`` must give the same rows when it is read twice. Rows equal in ``order`` share a
     bucket; their order among themselves is arbitrary. Null keys form a group of their own.
     """
-    dealt = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    dealt = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int") if bucket is None else bucket)
     counts = dealt.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_kb"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))

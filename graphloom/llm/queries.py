@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, ftrl_quality, grid_join, jaccard, packing, rules, shards, toxicity, warc
+from graphloom.llm import bpe, chat, ftrl_quality, grid_join, jaccard, packing, rules, shards, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(chat.as_tool_messages(table(spark, sf_dir, "conversations")), chat.SAY)
+
+
 def op3_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ftrl_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -59,6 +63,7 @@ def op10_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_revisits": op1_warc_revisits,
+    "op2_tool_calls": op2_tool_calls,
     "op3_ftrl_quality": op3_ftrl_quality,
     "op4_bpe": op4_bpe,
     "op5_balanced_shards": op5_balanced_shards,
