@@ -9,13 +9,14 @@ on any file system that it knows, through its commit protocol.
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import new_path, utf8
+from graphloom.llm.common import new_path, utf8, written
 
 #: Payloads with fewer bytes are always written.
 LEAST_BYTES = 100
@@ -35,6 +36,8 @@ def resolve(headers: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """
     many = headers.where(F.col("bytes") >= least)
     first = many.groupBy("digest").agg(F.min("id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 AND refers_to IS NOT NULL").drop("n")
+    # Written, the smaller side is an input of its own, and Spark can split a hot digest's rows.
+    first = written(first, "first")
     found = many.select("id", "digest").join(first, "digest").where(~F.col("id").eqNullSafe(F.col("refers_to")))
     return found.groupBy("id", "digest").agg(F.first("refers_to").alias("refers_to"))
 
@@ -80,11 +83,13 @@ def write(pages: DataFrame, path: str, date: str, id: str = "page_id", url: str
         ("Content-Length", length),
     ]
     record = F.concat(header_lines(fields), http, F.when(revisit, F.lit("")).otherwise(F.col("body")))
-    rows.select(record.alias("value")).write.option("lineSep", RECORD_END).option("compression", "none").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    rows.select(record.alias("value")).write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
-    """The records of one archive: headers and block. Lengths, not separators, delimit them."""
+    """The records of one archive, compressed or not: headers and block. Lengths delimit them."""
+    if content[:2] == b"\x1f\x8b":
+        content = gzip.decompress(content)
     at, view = 0, memoryview(content)
     while at < len(content):
         end = content.index(b"\r\n\r\n", at)
@@ -143,16 +148,19 @@ def round_trip(pages: DataFrame, id: str = "page_id", url: str = "url", payload:
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write(pages, path, date, id, url, payload)
+    told = F.coalesce("payload_bytes", "http_bytes"), F.coalesce("computed", "digest")
+    intact = F.coalesce((F.col("computed") == F.col("digest")) & (F.col("payload_bytes") == F.col("http_bytes")), F.lit(False))
     records = read(spark, path, dict(pages.dtypes)[id], payloads=False)
-    # A revisit finds its payload by digest; originals with one digest are counted once.
-    originals = records.where("record_type = 'response'").groupBy("record_id").agg(F.first("payload_bytes").alias("o_bytes"), F.first("computed").alias("o_digest"))
-    got = records.join(originals.withColumnRenamed("record_id", "o_id"), F.col("refers_to_record") == F.col("o_id"), "left")
-    size, digest = F.coalesce("payload_bytes", "o_bytes"), F.coalesce("computed", "o_digest")
-    return got.select(
-        F.col("id").alias(id),
-        size.alias("payload_bytes"),
-        digest.alias("payload_digest"),
-        "record_type",
-        "refers_to",
-        F.coalesce((digest == F.col("digest")) & (size == F.col("http_bytes")), F.lit(False)).alias("intact"),
-    )
+    records = written(records.select("id", told[0].alias("bytes"), told[1].alias("digest"), "record_type", "refers_to", "record_id", "refers_to_record", intact.alias("intact")), "records")
+    revisits = records.where("record_type = 'revisit'")
+    # A revisit finds its payload's record; only records that are referred to are looked up, and
+    # written, so that Spark can split a hot one's revisits.
+    wanted = revisits.select(F.col("refers_to_record").alias("record_id")).distinct()
+    originals = records.where("record_type = 'response'").join(wanted, "record_id", "left_semi")
+    originals = originals.groupBy(F.col("record_id").alias("refers_to_record")).agg(F.first("bytes").alias("o_bytes"), F.first("digest").alias("o_digest"), F.min("intact").alias("o_intact"))
+    found = revisits.join(written(originals, "originals"), "refers_to_record", "left")
+    names = ["id", "bytes", "digest", "record_type", "refers_to", "intact"]
+    same = F.coalesce((F.col("o_bytes") == F.col("bytes")) & (F.col("o_digest") == F.col("digest")) & F.col("o_intact"), F.lit(False))
+    found = found.select("id", F.col("o_bytes").alias("bytes"), F.col("o_digest").alias("digest"), "record_type", "refers_to", same.alias("intact"))
+    got = records.where("record_type <> 'revisit'").select(*names).union(found)
+    return got.select(F.col("id").alias(id), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to", "intact")
