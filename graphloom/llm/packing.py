@@ -10,6 +10,7 @@ Token ids are made once and only digests of them are moved.
 from __future__ import annotations
 
 import bisect
+import gc
 import os
 import zlib
 from collections.abc import Iterator
@@ -134,6 +135,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, crc = library_ids(path), zlib.crc32
+        gc.disable()  # no cycles arise here, and the large tables are slow to search for some
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 part = batch.slice(a, b - a)
