@@ -35,7 +35,8 @@ TOGETHER = 4_000_000
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n")
 #: Control characters that str.split() takes for white space and the tokenizer does not.
 ODD_BLANKS = "\x1c\x1d\x1e\x1f"
-REAL_BLANKS = re.compile("[\t-\r \x85\xa0  -     　]+")
+WHITE_SPACE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+REAL_BLANKS = re.compile(f"[{''.join(map(chr, WHITE_SPACE))}]+")
 WORD_END = "</w>"
 
 
