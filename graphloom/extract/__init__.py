@@ -21,8 +21,10 @@ _TAGGED = "relation string, root_id string, path string, " + ", ".join(f"{name}
 
 def one_file(language: str, content: bytes | None) -> list[tuple[str, dict]]:
     """The rows of one file. What can not be read gives one ``parse_error``, never an exception."""
+    if content is None:
+        return [("violations", {"kind": "parse_error", "line": 1, "snippet": "not readable"})]
     try:
-        text = (content or b"").decode("utf-8")
+        text = content.decode("utf-8")
         found = EXTRACTORS[language](text, language)
     except UnicodeDecodeError:
         return [("violations", {"kind": "parse_error", "line": 1, "snippet": "not UTF-8"})]

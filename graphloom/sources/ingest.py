@@ -128,8 +128,8 @@ class Index:
 
 
 def build(index: Index, walk: DataFrame, extract: Callable[[DataFrame], dict[str, DataFrame]], root: str = "", force: bool = False, scope: list[str] | None = None) -> dict:
-    """Bring a root's relations up to date with a walk (root_id, path, language, mtime_ns, size,
-    content). ``extract`` gives symbols, refs and violations of changed files. Nothing is
+    """Bring a root's relations up to date with a walk (root_id, path, language, mtime_ns, size, and
+    uri or content). ``extract`` gives symbols, refs and violations of changed files. Nothing is
     written but the snapshot when nothing changed. ``scope`` names the paths of a scoped run,
     which marks the baseline stale."""
     files = index.read("files")
@@ -137,7 +137,11 @@ def build(index: Index, walk: DataFrame, extract: Callable[[DataFrame], dict[str
     changed = dirty(walk, files, force)
     if scope is not None and len(scope) <= 64:
         changed = changed.where(F.col("path").isin(*scope))
-    hashed = changed.withColumn("hash", F.sha2("content", 256))
+    if "content" not in changed.columns:
+        from graphloom.sources.walk import with_content
+
+        changed = with_content(changed)
+    hashed = changed.withColumn("hash", F.coalesce(F.sha2("content", 256), F.lit("parse-error")))
     known = files.select("root_id", "path", F.col("hash").alias("_h"))
     same = hashed.join(known, ["root_id", "path"]).where("hash = _h").select("root_id", "path")
     todo = (hashed if force else hashed.join(same, ["root_id", "path"], "left_anti")).persist()

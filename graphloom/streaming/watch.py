@@ -21,7 +21,9 @@ def sessions(events: DataFrame, by: str, ts: str, path: str, quiet: str) -> Data
 
     The same expression runs on a table and on a stream; on a stream, put a watermark first.
     """
-    w = F.session_window(F.col(ts).cast("timestamp"), quiet)
+    # A cast would hide the watermark of a stream.
+    time = F.col(ts) if dict(events.dtypes)[ts] == "timestamp" else F.col(ts).cast("timestamp")
+    w = F.session_window(time, quiet)
     got = events.groupBy(by, w).agg(F.min(ts).alias("started"), F.count(F.lit(1)).alias("n"), F.collect_set(path).alias("paths"))
     return got.select(by, "started", "n", "paths")
 

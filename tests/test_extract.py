@@ -112,8 +112,8 @@ def test_columns_are_utf16():
 
 
 def test_frames(spark):
-    rows = [("r", "a.py", "python", b"def f():\n    g()\n"), ("r", "b.ts", "typescript", b"function h( {"), ("r", "c.go", "go", b"\xff\xfe"), ("r", "d.txt", None, b"x"), ("r", "e.rs", "rust", None)]
+    rows = [("r", "a.py", "python", b"def f():\n    g()\n"), ("r", "b.ts", "typescript", b"function h( {"), ("r", "c.go", "go", b"\xff\xfe"), ("r", "d.txt", "text", b"x"), ("r", "e.rs", "rust", None)]
     got = x.extract(spark.createDataFrame(rows, "root_id string, path string, language string, content binary"))
     assert [tuple(r) for r in got["symbols"].select("path", "name").collect()] == [("a.py", "f")]
     assert [r.name for r in got["refs"].collect()] == ["g"] and got["refs"].columns == s.REFS.names
-    assert sorted((r.path, r.kind) for r in got["violations"].collect()) == [("b.ts", "parse_error"), ("c.go", "parse_error")]
+    assert sorted((r.path, r.kind) for r in got["violations"].collect()) == [("b.ts", "parse_error"), ("c.go", "parse_error"), ("e.rs", "parse_error")]
