@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 from graphloom import schema as s
 from graphloom.functions import exprs as e
 from graphloom.operators import diff, gate, link, lookup, metrics, rank, sidecar, traverse
-from graphloom.plans.views import sql_with_views
+from graphloom.plans.views import Frames, sql_with_views
 
-Frames = dict[str, DataFrame]
 CATALOG: dict[str, tuple[Callable[[Frames], DataFrame], str | None]] = {}
 
 

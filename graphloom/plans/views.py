@@ -103,17 +103,27 @@ VIEWS["g_edges_old"] = _EDGES.format(none="CAST(NULL AS STRING)", root="root0",
 VIEWS["g_edges_new"] = _EDGES.format(none="''", root="root1", part="l_orderkey % 10 > 2")
 
 
-def frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All views of one data directory, lazily."""
-    base = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
-    out = dict(base)
-    for name, sql in VIEWS.items():
-        used = [t for t in TABLES if re.search(rf"\b(FROM) {t}\b", sql)]
-        marked = sql
-        for t in used:
-            marked = re.sub(rf"\bFROM {t}\b", f"FROM {{{t}}}", marked)
-        out[name] = spark.sql(marked, **{t: base[t] for t in used})
-    return out
+class Frames(dict):
+    """Tables and views of one data directory, each made when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __missing__(self, name: str) -> DataFrame:
+        if name in TABLES:
+            self[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        else:
+            sql = VIEWS[name]
+            used = [t for t in TABLES if re.search(rf"\bFROM {t}\b", sql)]
+            for t in used:
+                sql = re.sub(rf"\bFROM {t}\b", f"FROM {{{t}}}", sql)
+            self[name] = self.spark.sql(sql, **{t: self[t] for t in used})
+        return self[name]
+
+
+def frames(spark: SparkSession, sf_dir: str) -> Frames:
+    return Frames(spark, sf_dir)
 
 
 def sql_with_views(body: str) -> str:
