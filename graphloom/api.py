@@ -47,7 +47,7 @@ class Engine:
             link.resolve_imports(lang("typescript", "tsx", "javascript", "jsx"), files, link.ts_candidates()),
             link.resolve_imports(lang("python"), files, link.py_candidates()),
             link.go_resolve(lang("go"), files),
-            lang("rust"),
+            link.resolve_imports(lang("rust"), files, link.rs_candidates()),
         ]
         out = parts[0]
         for p in parts[1:]:

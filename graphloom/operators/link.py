@@ -153,6 +153,18 @@ def py_candidates(path="path", module="module"):
     return F.array(F.concat(base, F.lit(".py")), F.concat(base, F.lit("/__init__.py")), F.concat(base, F.lit(".pyi")))
 
 
+def rs_candidates(path="path", module="module"):
+    """The files of a ``crate::``, ``self::`` or ``super::`` path; its last part may be an item of
+    the file before it. A file's own module is its folder if it is mod.rs, lib.rs or main.rs."""
+    p, m = e.col(path), e.col(module)
+    own = F.when(p.rlike(r"(^|/)(mod|lib|main)\.rs$"), e.directory(path)).otherwise(F.regexp_replace(p, r"\.rs$", ""))
+    root = F.regexp_extract(p, "^((?:.*/)?src)/", 1)
+    steps = F.transform(F.split(m, "::"), lambda x: F.when(x == "super", F.lit("..")).when(x.isin("self", "crate"), F.lit(".")).otherwise(x))
+    base = e.repo_path(F.concat_ws("/", F.when(m.startswith("crate::"), root).otherwise(own), F.array_join(steps, "/")))
+    up = e.directory(base)
+    return F.when(m.rlike("^(crate|self|super)::"), F.array(*[F.concat(b, F.lit(t)) for b in (base, up) for t in (".rs", "/mod.rs")], F.concat(up, F.lit("/lib.rs"))))
+
+
 def resolve_imports(imports: DataFrame, files: DataFrame, candidates) -> DataFrame:
     """Resolve each import to the first of its candidate paths that is a file of its root.
 

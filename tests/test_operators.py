@@ -150,7 +150,7 @@ def test_package_keys(spark):
 
 
 def test_import_resolution(spark):
-    files = frame(spark, [file(p) for p in ("s/b.ts", "s/b/index.ts", "s/c/index.js", "p/__init__.py", "p/q/m.py", "g/x/y/k.go")], s.FILES)
+    files = frame(spark, [file(p) for p in ("s/b.ts", "s/b/index.ts", "s/c/index.js", "p/__init__.py", "p/q/m.py", "g/x/y/k.go", "k/src/lib.rs", "k/src/a/mod.rs", "k/src/a/b.rs", "k/src/c.rs")], s.FILES)
     ts = [ref("b", kind="import", path="s/a.ts", module=m) for m in ("./b", "./c", "../s/b.ts", "./none", "react")]
     got = {r.module: r.resolved for r in link.resolve_imports(frame(spark, ts, s.REFS), files, link.ts_candidates()).collect()}
     assert got == {"./b": "s/b.ts", "./c": "s/c/index.js", "../s/b.ts": "s/b.ts", "./none": None, "react": None}
@@ -161,6 +161,13 @@ def test_import_resolution(spark):
     assert {r.module: r.resolved for r in link.go_resolve(frame(spark, go, s.REFS), files).collect()} == {"ex.com/x/y": "g/x/y/k.go", "fmt": None}
 
 
+def test_rust_paths(spark):
+    files = frame(spark, [file(p) for p in ("k/src/lib.rs", "k/src/a/mod.rs", "k/src/a/b.rs", "k/src/c.rs")], s.FILES)
+    rows = [ref(str(i), kind="import", path=p, module=m) for i, (p, m) in enumerate([("k/src/c.rs", "crate::a::b::Thing"), ("k/src/a/b.rs", "super::helper"), ("k/src/a/b.rs", "super::super::c"), ("k/src/a/mod.rs", "self::b"), ("k/src/c.rs", "std::fmt"), ("k/src/c.rs", "crate::Top")])]
+    got = {r.name: r.resolved for r in link.resolve_imports(frame(spark, rows, s.REFS), files, link.rs_candidates()).collect()}
+    assert got == {"0": "k/src/a/b.rs", "1": "k/src/a/mod.rs", "2": "k/src/c.rs", "3": "k/src/a/b.rs", "4": None, "5": "k/src/lib.rs"}
+
+
 def test_budget(spark):
     rows = [("q", p, 0.0, "call", d, r) for p, d, r in [("legacy/a.ts", 0, ""), ("s/a.ts", 1, ""), ("s/b.ts", 1, ""), ("s/c.ts", 1, ""), ("t/a.ts", 2, ""), ("@alias:x", 0, ""), ("u/d.ts", 1, ""), ("v/e.ts", 1, ""), ("w/f.ts", 1, ""), ("x/g.ts", 1, "mock")]]
     got = {r.path: r.why for r in rank.select_files(spark.createDataFrame(rows, "query string, path string, score double, edge_role string, depth int, root_id string"), ["query"]).collect()}
