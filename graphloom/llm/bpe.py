@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import own_table, small_batches
+
 #: Chunks that a worker remembers; beyond it the table starts anew.
 REMEMBERED = 300_000
 #: Characters of text that are treated together.
@@ -209,14 +211,9 @@ class Encoder:
             yield " ".join([ids[x] for x in c]), " ".join([shown[x] for x in c])
 
 
-_known: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a vocabulary file."""
-    if path not in _known:
-        _known[path] = Encoder(path)
-    return _known[path]
+    return own_table(f"encoder {path}", lambda: Encoder(path))
 
 
 def slices(texts: pa.Array, most: int = TOGETHER) -> Iterator[tuple[int, int]]:
@@ -238,7 +235,7 @@ def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -
     A null text counts as empty and gives no ids. Null ids, repeated rows and columns of any
     other name are harmless: only ``id`` and ``text`` are read. Long texts are taken whole.
     """
-    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    rows = small_batches(docs).select(F.col(id).alias("id"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +256,7 @@ def encode_digests(docs: DataFrame, path: str, id: str = "doc_id", text: str = "
     The digests of what :func:`encode` returns, taken where the ids are made, so that neither
     ids nor decoded texts leave the worker. Edge cases are those of :func:`encode`.
     """
-    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    rows = small_batches(docs).select(F.col(id).alias("id"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

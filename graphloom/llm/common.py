@@ -17,6 +17,27 @@ from pyspark.sql.window import Window
 BLANKS = " \t\n\x0b\x0c\r"
 
 
+_tables: dict[str, object] = {}
+
+
+def own_table(name: str, make):
+    """The worker's table of what the named operator remembers between tasks.
+
+    A worker serves one operator after another; only the last one's table is kept.
+    """
+    if name not in _tables:
+        _tables.clear()
+        _tables[name] = make()
+    return _tables[name]
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on hands tasks' Python workers batches of a bounded size."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 

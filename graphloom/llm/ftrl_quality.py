@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import slices
+from graphloom.llm.common import own_table, small_batches
 
 #: Weights: 2 ** BITS.
 BITS = 18
@@ -26,7 +27,7 @@ TRAIN_ROWS = 4000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-3
 #: Words that a worker remembers; beyond it the table starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: A text's feature values sum to this number, whatever its length.
 MASS = 20.0
 THRESHOLD = 0.3
@@ -68,15 +69,13 @@ class Words(dict):
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
-_words = Words()
-
-
 def features(text: str, bits: int = BITS) -> np.ndarray:
     """Indices of the text's features, as often as they occur; one for an empty text."""
-    at = _words.of(text)
+    known = own_table("quality words", Words)
+    at = known.of(text)
     if not len(at):
         return np.zeros(1, np.int64)
-    h, s = _words.hash[at], _words.form[at]
+    h, s = known.hash[at], known.form[at]
     again = (h[1:] == h[:-1]).astype(np.uint32)
     parts = [h, s, h[:-1] * _M1 + h[1:] * _M2 + np.uint32(1), s[:-1] * _M1 + s[1:] * _M2 + np.uint32(2), s[:-2] * _M1 + s[1:-1] * _M2 + s[2:] * _M3 + np.uint32(3), again * _M3 + np.uint32(4)]
     return ((np.concatenate(parts) * _M1) >> np.uint32(32 - bits)).astype(np.int64)
@@ -166,7 +165,7 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0,
     as empty; empty texts share one feature and get its score. Null ids are scored and never
     learned from. Labels outside 0 and 1 are not learned. Repeated rows are scored repeatedly.
     """
-    model = learn(docs, labels, folds, fold, rows, id, text, label)
+    model = learn(small_batches(docs), labels, folds, fold, rows, id, text, label)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     carried = keep or [id]
     others = [c for c in carried if c != text]

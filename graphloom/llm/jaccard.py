@@ -33,22 +33,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import slices
-from graphloom.llm.common import components, row_rank, written
+from graphloom.llm.common import components, own_table, row_rank, small_batches, written
 
 #: Ratio between the ends of a size band.
 BAND = 1.5
 #: Classes that share a signature and are paired at once; more make a large group.
-FEW = 16
+FEW = 4
 #: Members of a large group that a task compares with as many others.
 GROUP_BLOCK = 2048
 #: Signatures of a bucket, about.
 BUCKET = 1_500_000
 #: Pieces of the hash domain in a small set's histogram; a power of two.
 BINS = 256
+#: The same in a coarse histogram, which tells unrelated sets apart in fewer bytes.
+COARSE = 16
+#: Pairs of histograms that are compared in one step.
+AT_ONCE = 8192
 #: Rounds in which each component of a large group meets its nearest neighbour.
 ROUNDS = 4
 #: Words that a worker remembers; beyond it the table starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Characters of text whose signatures are packed together.
 TOGETHER = 16_000_000
 
@@ -68,9 +72,6 @@ class Words(dict):
         return h
 
 
-_words = Words()
-
-
 def shingles(text: str, n: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's n-word shingles.
 
@@ -82,9 +83,10 @@ def shingles(text: str, n: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(words) < n:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=1)], np.uint64)
-    if len(_words) > REMEMBERED:
-        _words.clear()
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    known = own_table("shingle words", Words)
+    if len(known) > REMEMBERED:
+        known.clear()
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     places = len(h) - n + 1
     out = h[:places].copy()
     for i in range(1, n):
@@ -97,13 +99,14 @@ def set_key(h: np.ndarray) -> int:
     return int(xxhash.xxh3_64_intdigest(h.tobytes())) - (1 << 63)
 
 
-def histogram(h: np.ndarray) -> bytes:
-    """How many hashes lie in each piece of the domain, 255 at most; four a piece or fewer.
+def histogram(h: np.ndarray, least: int = BINS, each: int = 4) -> bytes:
+    """How many hashes lie in each piece of the domain, 255 at most; about ``each`` a piece, in
+    ``least`` pieces at least.
 
     The sum of two histograms' differences never exceeds the number of elements that the sets
     differ in, and of unrelated sets it is far more than similar sets may have.
     """
-    bits = max(BINS.bit_length() - 1, (len(h) // 4).bit_length())
+    bits = max(least.bit_length() - 1, (len(h) // each).bit_length())
     return np.minimum(np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
@@ -157,21 +160,23 @@ def signatures(h: np.ndarray, percent: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, words: int, id: str, text: str) -> DataFrame:
-    """One row per document: id, mark (hash of the text), n, key (null if empty), sketch."""
-    rows = docs.select(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
+    """One row per document: id, mark (hash of the text), n, key (null if empty), and two
+    histograms, sketch and coarse."""
+    rows = small_batches(docs).select(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, key, sketch = [], [], []
+            n, key, sketch, coarse = [], [], [], []
             for x in batch.column(2):
                 h = shingles(x.as_py() or "", words)
                 n.append(len(h))
                 key.append(set_key(h) if len(h) else None)
                 sketch.append(histogram(h) if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(sketch, pa.binary())], ["id", "mark", "n", "key", "sketch"])
+                coarse.append(histogram(h, COARSE, 8) if len(h) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(sketch, pa.binary()), pa.array(coarse, pa.binary())], ["id", "mark", "n", "key", "sketch", "coarse"])
 
-    return rows.mapInArrow(run, f"id {kind}, mark long, n long, key long, sketch binary")
+    return rows.mapInArrow(run, f"id {kind}, mark long, n long, key long, sketch binary, coarse binary")
 
 
 def packed(docs: DataFrame, words: int, percent: int, buckets: int, text: str) -> DataFrame:
@@ -263,9 +268,9 @@ def within(differ: np.ndarray, nx: np.ndarray, ny: np.ndarray, percent: int) ->
     return ((100 + percent) * differ <= (100 - percent) * (nx + ny)) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
 
 
-def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, ...) that sizes and histograms do not exclude."""
-    side = lambda c: classes.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+def plausible(pairs: DataFrame, classes: DataFrame, percent: int, sketch: str) -> DataFrame:
+    """The pairs (a, b, ...) that sizes and the histograms ``sketch`` do not exclude."""
+    side = lambda c: classes.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col(sketch).alias(f"s_{c}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     names = pairs.columns
 
@@ -316,53 +321,61 @@ def labelled(rows: DataFrame, comps: DataFrame, key: str, out: str) -> DataFrame
     return rows.join(known, key, "left").withColumn(out, F.coalesce("_c", key)).drop("_c")
 
 
-def large_pairs(members: DataFrame, classes: DataFrame, comps: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Plausible pairs in different components inside the large groups.
+def large_pairs(members: DataFrame, classes: DataFrame, comps: DataFrame, percent: int, nearest: bool, sketch: str) -> DataFrame:
+    """Plausible pairs (g, a, b) in different components inside the large groups g.
 
-    ``members`` (a: group, b: key). Groups within one component are done. The others are cut
-    into blocks, and each two blocks of a group are compared in one task by histograms. With
+    ``members`` (g, key). Groups within one component are done. The others are cut into blocks,
+    and each two blocks of a group are compared in one task by the histograms ``sketch``. With
     ``nearest`` each component gives its nearest plausible pair only.
     """
-    rows = written(labelled(members, comps, "b", "comp"), "members")
-    mixed = rows.groupBy("a").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("a", "m")
-    rows = written(rows.join(mixed, "a"), "mixed")
-    rows = row_rank(rows, ["a"], ["b"], "at").withColumn("block", F.floor(F.col("at") / GROUP_BLOCK)).withColumn("blocks", F.floor((F.col("m") - 1) / GROUP_BLOCK))
-    rows = rows.join(classes.select(F.col("key").alias("b"), "n", "sketch"), "b")
+    rows = written(labelled(members, comps, "key", "comp"), "members")
+    mixed = rows.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("g", "m")
+    rows = written(rows.join(mixed, "g"), "mixed")
+    # Only groups of several blocks need ranks.
+    small = rows.where(F.col("m") <= GROUP_BLOCK).withColumn("at", F.lit(0).cast("long"))
+    rows = small.unionByName(row_rank(rows.where(F.col("m") > GROUP_BLOCK), ["g"], ["key"], "at"))
+    rows = rows.withColumn("block", F.floor(F.col("at") / GROUP_BLOCK)).withColumn("blocks", F.floor((F.col("m") - 1) / GROUP_BLOCK))
+    rows = rows.join(classes.select("key", "n", F.col(sketch).alias("sketch")), "key")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks"))))
-    rows = rows.select("a", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "b", "comp", "n", "sketch")
+    rows = rows.select("g", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "key", "comp", "n", "sketch")
 
     def run(table: pa.Table) -> pa.Table:
-        key, comp, n, block = (table[c].to_numpy() for c in ("b", "comp", "n", "block"))
+        key, comp, n, block = (table[c].to_numpy() for c in ("key", "comp", "n", "block"))
         full = [np.frombuffer(x, np.uint8) for x in table["sketch"].to_pylist()]
-        sketch = np.stack([folded(x, BINS) for x in full])
+        sketch = np.stack([folded(x, min(map(len, full))) for x in full])
         first, last = table["p"][0].as_py(), table["q"][0].as_py()
         x, y = np.flatnonzero(block == first), np.flatnonzero(block == last)
-        got = [np.zeros((0, 5), np.int64)]
-        for i in x:
+        left, right, differ = [], [], []
+        step = max(1, AT_ONCE // len(y))
+        for s in range(0, len(x), step):
             # Sizes and components first: histograms are compared only where they can matter.
-            j = y[(comp[y] != comp[i]) & (100 * np.minimum(n[y], n[i]) >= percent * np.maximum(n[y], n[i]))]
+            i = x[s : s + step, None]
+            ok = (comp[i] != comp[y]) & (100 * np.minimum(n[i], n[y]) >= percent * np.maximum(n[i], n[y]))
             if first == last:
-                j = j[j > i]
-            differ = (np.maximum(sketch[i], sketch[j]) - np.minimum(sketch[i], sketch[j])).sum(-1, dtype=np.int64)
-            j = j[within(differ, n[i], n[j], percent)]
-            differ = np.array([apart(full[i], full[k]) for k in j], np.int64)
-            ok = within(differ, n[i], n[j], percent)
-            j, differ = j[ok], differ[ok]
-            if nearest and len(j):
-                j, differ = j[[differ.argmin()]], differ[[differ.argmin()]]
-            got.append(np.stack((np.full(len(j), key[i]), key[j], comp[j], differ, np.full(len(j), comp[i])), 1))
-        found = np.concatenate(got)
-        if nearest and len(found):
-            # Of the pairs found, the nearest for each component on either side.
-            keep = set()
-            for side in (found[:, 4], found[:, 2]):
-                order = np.lexsort((found[:, 3], side))
-                keep.update(order[np.concatenate(([True], side[order][1:] != side[order][:-1]))].tolist())
-            found = found[sorted(keep)]
-        a, b = np.minimum(found[:, 0], found[:, 1]), np.maximum(found[:, 0], found[:, 1])
-        return pa.table({"a": a, "b": b})
-
-    return rows.groupBy("a", "p", "q").applyInArrow(run, "a long, b long").distinct()
+                ok &= y > i
+            u, v = np.nonzero(ok)
+            u, v = x[s + u], y[v]
+            for c in range(0, len(u), AT_ONCE):
+                p, q = u[c : c + AT_ONCE], v[c : c + AT_ONCE]
+                d = (np.maximum(sketch[p], sketch[q]) - np.minimum(sketch[p], sketch[q])).sum(-1, dtype=np.int64)
+                near = within(d, n[p], n[q], percent)
+                p, q = p[near], q[near]
+                d = np.array([apart(full[k], full[m]) for k, m in zip(p.tolist(), q.tolist(), strict=True)], np.int64)
+                near = within(d, n[p], n[q], percent)
+                left.append(p[near])
+                right.append(q[near])
+                differ.append(d[near])
+        p, q, d = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (left, right, differ))
+        if nearest and len(p):
+            # The nearest pair of each component, from either side.
+            side, pair, far = np.concatenate((comp[p], comp[q])), np.tile(np.arange(len(p)), 2), np.tile(d, 2)
+            order = np.lexsort((pair, far, side))
+            keep = np.unique(pair[order[np.concatenate(([True], side[order][1:] != side[order][:-1]))]])
+            p, q = p[keep], q[keep]
+        a, b = np.minimum(key[p], key[q]), np.maximum(key[p], key[q])
+        return pa.table({"g": np.full(len(a), table["g"][0].as_py(), np.int64), "a": a, "b": b})
+
+    return rows.groupBy("g", "p", "q").applyInArrow(run, "g long, a long, b long")
 
 
 def join(docs: DataFrame, words: int = 3, percent: int = 90, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -375,14 +388,16 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90, id: str = "doc_id",
     Other columns are not read; empty tables give empty results.
     """
     rows = written(described(docs, words, id, text), "described")
-    classes = written(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    classes = written(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("coarse").alias("coarse")), "classes")
     elements = classes.agg(F.sum("n")).first()[0] or 0
     expected = elements * 3 * (100 - percent) / (100 + percent) * BAND
     buckets = max(8, int(expected / BUCKET) + 1)
     met = packed(docs, words, percent, buckets, text).groupBy("bucket").applyInArrow(meet, "a long, b long, w long")
     met = written(met, "met")
     pairs = met.where("w > 0").groupBy("a", "b").agg(F.sum("w").alias("w"))
-    pairs = written(plausible(pairs, classes, percent), "plausible")
+    # Most pairs fall to the coarse histograms; the others meet the fine ones.
+    pairs = written(plausible(pairs, classes, percent, "coarse"), "plausible")
+    pairs = written(plausible(pairs, classes, percent, "sketch"), "plausible")
 
     # Each class with the partner that shares most with it.
     ends = pairs.select("a", "b", "w", F.col("a").alias("node")).union(pairs.select("a", "b", "w", F.col("b").alias("node")))
@@ -395,25 +410,30 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90, id: str = "doc_id",
     if not rest.isEmpty():
         similar = written(similar.union(verified(rest, docs, classes, words, percent, id, text)), "similar")
         comps = components(similar)
-    members = met.where("w = 0").select("a", "b")
+    members = met.where("w = 0").select(F.col("a").alias("g"), F.col("b").alias("key"))
     tried = pairs.select("a", "b")
     if not members.isEmpty():
         # Few pairs merge most components; what they leave apart is then compared in full.
         nearest, turn = True, 0
         while True:
-            more = written(large_pairs(members, classes, comps, percent, nearest).join(tried, ["a", "b"], "left_anti"), "more")
+            # The first turn sorts out groups of unrelated sets; coarse histograms do for that.
+            found = written(large_pairs(members, classes, comps, percent, nearest, "sketch" if turn else "coarse"), "found")
+            more = found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+            more = written(more if turn else plausible(more, classes, percent, "sketch"), "more")
             merged = False
             if not more.isEmpty():
-                found = verified(more, docs, classes, words, percent, id, text)
+                new = verified(more, docs, classes, words, percent, id, text)
                 tried = written(tried.union(more), "tried")
-                merged = not found.isEmpty()
+                merged = not new.isEmpty()
                 if merged:
-                    similar = written(similar.union(found), "similar")
+                    similar = written(similar.union(new), "similar")
                     comps = components(similar)
             if not nearest:
                 break
+            # Components only grow: a group without a plausible pair now has none later.
+            members = written(members.join(found.select("g").distinct(), "g", "left_semi"), "members")
             turn += 1
-            nearest = merged and turn < ROUNDS
+            nearest = (merged or turn == 1) and turn < ROUNDS
 
     known = labelled(classes.select("key", "least"), comps, "key", "comp")
     lowest = written(known.groupBy("comp").agg(F.min("least").alias("component")), "lowest")

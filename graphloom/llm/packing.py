@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import WORD_END, chunks_of, slices
-from graphloom.llm.common import row_rank, written
+from graphloom.llm.common import own_table, row_rank, small_batches, written
 
 CAPACITY = 4096
 END_ID = 1
 #: Chunks of one generation. A full table becomes the old one, from which chunks that occur
 #: again are taken over; so a worker remembers twice as many at most.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Marks that are split from the end of a word before it is looked up.
 ALL_MARKS = ".,;:!?*$%&#|\"()"
 MARKS = frozenset(ALL_MARKS)
@@ -114,13 +114,8 @@ class LibraryIds:
             yield b"".join(map(known.__getitem__, c))
 
 
-_ids: dict[str, LibraryIds] = {}
-
-
 def library_ids(path: str) -> LibraryIds:
-    if path not in _ids:
-        _ids[path] = LibraryIds(path)
-    return _ids[path]
+    return own_table(f"library ids {path}", lambda: LibraryIds(path))
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -129,7 +124,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id: str = "doc_
     Returns id, piece, start, length, ids_crc32 and, if asked, ids. A null text counts as
     empty and gives one piece that holds only the end.
     """
-    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    rows = small_batches(docs).select(F.col(id).alias("id"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["id"]
     width, end = 4 * capacity, END_ID.to_bytes(4, "little")
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import slices
+from graphloom.llm.common import own_table, small_batches
 from graphloom.llm.ftrl_quality import held_out
 
 #: Rows of the embedding table: 2 ** BITS; row 0 stands for the space beyond a text.
@@ -37,7 +38,7 @@ RATE = 0.05
 THRESHOLD = 0.3
 #: A language with fewer calibration texts of either class takes the common threshold.
 LEAST_CALIBRATION = 8
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 #: Characters of text whose words are held as vectors at a time.
 TOGETHER = 2_000_000
 
@@ -75,18 +76,16 @@ class Words(dict):
         return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
-_words = Words()
-
-
 def text_rows(text: str) -> tuple[np.ndarray, int]:
     """Embedding rows of the words (n x 3) and the language: an index, or -1 if it is unclear."""
-    if len(_words) > REMEMBERED:
-        _words.clear()
-    at = _words.of(text)
-    marks = _words.marks[at].sum(0, dtype=np.int64)
+    known = own_table("toxicity words", Words)
+    if len(known) > REMEMBERED:
+        known.clear()
+    at = known.of(text)
+    marks = known.marks[at].sum(0, dtype=np.int64)
     best = int(marks.argmax())
     clear = len(at) and marks[best] and (marks == marks[best]).sum() == 1
-    return _words.rows[at], best if clear else -1
+    return known.rows[at], best if clear else -1
 
 
 @dataclass
@@ -261,7 +260,7 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2,
     as empty; an empty text has no word and gets the score of one. Null ids are scored and
     never learned from. Repeated rows are scored repeatedly.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, folds, fold, rows, id, text, label))
+    sent = docs.sparkSession.sparkContext.broadcast(learn(small_batches(docs), labels, folds, fold, rows, id, text, label))
     carried = keep or [id]
     others = [c for c in carried if c != text]
     kinds = dict(docs.dtypes)
