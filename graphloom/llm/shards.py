@@ -107,6 +107,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id: str =
     base = written(base.withColumn("shard", F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int")), "sizes")
     quota = quotas(base.count(), shards)
     groups = base.groupBy("gid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gid")
+    # Written, it is an input of its own, and Spark can split a hot group's rows in the join.
+    groups = written(groups, "groups")
     state = written(base.select("rid", "gid", "shard").join(groups, "gid").select("rid", "gid", "shard"), "labels")
     labels = propagate(state, quota, rounds).select("rid", F.col("shard").alias("_label"))
     full = base.join(labels, "rid", "left")
