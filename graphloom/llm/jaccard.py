@@ -42,7 +42,7 @@ FEW = 4
 #: Members of a large group that a task compares with as many others.
 GROUP_BLOCK = 2048
 #: Signatures of a bucket, about.
-BUCKET = 1_500_000
+BUCKET = 600_000
 #: Pieces of the hash domain in a small set's histogram; a power of two.
 BINS = 256
 #: The same in a coarse histogram, which tells unrelated sets apart in fewer bytes.
@@ -54,7 +54,7 @@ ROUNDS = 4
 #: Words that a worker remembers; beyond it the table starts anew.
 REMEMBERED = 200_000
 #: Characters of text whose signatures are packed together.
-TOGETHER = 16_000_000
+TOGETHER = 6_000_000
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -231,11 +231,12 @@ def meet(table: pa.Table) -> pa.Table:
         keys.append(np.frombuffer(k.as_buffer(), np.int64)[np.frombuffer(w.as_buffer(), np.uint16)])
     sig, key = np.concatenate(sigs), np.concatenate(keys)
     del sigs, keys
+    # Most signatures occur once and go at once.
     order = np.argsort(sig)
+    same = sig[order[1:]] == sig[order[:-1]]
+    order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
     sig, key = sig[order], key[order]
-    same = sig[1:] == sig[:-1]
-    shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
-    sig, key = sig[shared], key[shared]
+    del order, same
     order = np.lexsort((key, sig))
     sig, key = sig[order], key[order]
     fresh = np.ones(len(sig), bool)
