@@ -388,6 +388,12 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90, id: str = "doc_id",
     names a component that has another. Sets and shingles are told apart by 64-bit hashes.
     Other columns are not read; empty tables give empty results.
     """
+    return grouped(docs, words, percent, id, text).drop("comp")
+
+
+def grouped(docs: DataFrame, words: int, percent: int, id: str, text: str) -> DataFrame:
+    """What :func:`join` gives, and comp: the name of the component itself, which unlike its least
+    id no other component has; null without words."""
     rows = written(described(docs, words, id, text), "described")
     classes = written(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("coarse").alias("coarse")), "classes")
     elements = classes.agg(F.sum("n")).first()[0] or 0
@@ -438,20 +444,21 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90, id: str = "doc_id",
 
     known = labelled(classes.select("key", "least"), comps, "key", "comp")
     lowest = written(known.groupBy("comp").agg(F.min("least").alias("component")), "lowest")
-    named = written(known.join(lowest, "comp").select("key", "component"), "named")
+    named = written(known.join(lowest, "comp").select("key", "comp", "component"), "named")
     out = rows.join(named, "key", "left")
-    return out.select(F.col("id").alias(id), "mark", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
+    return out.select(F.col("id").alias(id), "mark", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"), "comp")
 
 
 def first_of_groups(docs: DataFrame, words: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents of which none before is a near-duplicate: one of each component stays.
 
-    It is the document with the least id; of rows that repeat its id and text, one. Documents
-    without words link with nothing and all stay. All columns of ``docs`` are kept.
+    It is the document with the least id, one without an id only where no other is; of rows that
+    repeat its id and text, one. Components are told apart by their texts, never by their ids.
+    Documents without words link with nothing and all stay. All columns of ``docs`` are kept.
     """
-    got = join(docs, words, percent, id, text)
+    got = grouped(docs, words, percent, id, text)
     lonely = got.where("n_shingles = 0").select(id, "mark").distinct()
-    lead = got.where("n_shingles > 0").where(F.col(id).eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min(F.struct(F.col(id), F.col("mark"))).alias("one")).select("one.*")
+    lead = got.where("n_shingles > 0").where(F.col(id).eqNullSafe(F.col("component_id"))).groupBy("comp").agg(F.min(F.struct(F.col(id), F.col("mark"))).alias("one")).select("one.*")
     stay = written(lead.select(F.col(id).alias("_id"), F.col("mark").alias("_mark"), F.lit(True).alias("_once")).union(lonely.select(id, "mark", F.lit(False))), "stay")
     marked = docs.withColumn("_m", F.xxhash64(F.col(text)))
     rows = marked.join(stay, F.col(id).eqNullSafe(F.col("_id")) & (F.col("_m") == F.col("_mark")))

@@ -119,3 +119,15 @@ def test_histograms_never_exclude_similar_sets():
         c = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
         far = jaccard.apart(np.frombuffer(jaccard.histogram(a), np.uint8), np.frombuffer(jaccard.histogram(c), np.uint8))
         assert not jaccard.within(np.array([far]), np.array([len(a)]), np.array([len(c)]), 80)[0]
+
+
+def test_first_of_groups_tells_groups_from_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(12)) for x in "abcd")
+    # Unrelated texts without ids, one of them twice; two texts of one id; a near copy of that id.
+    rows = [(None, a), (None, b), (None, b), (None, a.upper()), (3, c), (3, d), (3, d + " more"), (3, c), (None, d), (8, c)]
+    docs = spark.createDataFrame([(i, t, k, "s") for k, (i, t) in enumerate(rows)], SCHEMA)
+    got = sorted(((r.doc_id, sets(r.text, 5)) for r in jaccard.first_of_groups(docs).collect()), key=repr)
+    ids = sorted((i for i, _ in got), key=repr)
+    assert ids == [3, 3, None, None]
+    assert {s for i, s in got if i is None} == {sets(a, 5), sets(b, 5)}
+    assert sets(c, 5) in [s for i, s in got if i == 3]
