@@ -1,8 +1,8 @@
 """Embedding near-duplicates by an epsilon grid order join.
 
-Equal vectors form one class. Classes are normalised, so that a cosine threshold is a
-Euclidean radius, projected on a few leading principal directions, and sorted by the cells of
-a grid as wide as that radius. The sequence is cut into intervals of bounded length. Pairs of
+Equal vectors form one class. The classes of each vector length are normalised, so that a
+cosine threshold is a Euclidean radius, projected on a few leading principal directions, and
+sorted by the cells of a grid as wide as that radius. The sequence is cut into intervals of bounded length. Pairs of
 intervals whose bounding boxes are further apart than the radius are never formed; the others
 are joined in one task each by recursion on halves, which again skips distant blocks, down to
 blocks that one matrix product compares. A task returns counts and a spanning forest, not the
@@ -179,28 +179,29 @@ def linked(ordered: DataFrame, pairs: DataFrame, radius: float, threshold: float
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, id: str = "vec_id", vector: str = "embedding", interval: int = INTERVAL, leading: int = LEADING) -> DataFrame:
     """One row per vector: id, n_links, component_id and kept (id = component_id).
 
-    Null vectors, vectors with null or non-finite components, zero vectors and vectors of
-    another length than the most frequent one link with nothing and are their own component.
-    Repeated rows are vectors of their own: equal vectors link with each other, and rows that
-    share the least id of a component are all kept. A null id is never a component's least id
-    unless all its ids are null. Other columns are not read. Empty tables give empty results.
+    Null vectors, vectors with null or non-finite components and zero vectors link with nothing
+    and are their own component. Vectors of different lengths do not link; those of each length
+    are joined by themselves. Repeated rows are vectors of their own: equal vectors link with
+    each other, and rows that share the least id of a component are all kept. A null id is never
+    a component's least id unless all its ids are null. Other columns are not read. Empty tables
+    give empty results.
     """
     all_rows = written(vectors(rows, id, vector), "vectors")
-    usual = all_rows.where("dim > 0").groupBy("dim").count().orderBy(F.desc("count"), F.desc("dim")).limit(1).collect()
-    dim = usual[0]["dim"] if usual else 1
-    classes = written(all_rows.where(F.col("dim") == dim).groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("vec").alias("vec")), "classes")
+    classes = written(all_rows.where("dim > 0").groupBy("dim", "key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("vec").alias("vec")), "classes")
     # A hair wider than exact, so that rounding never skips a link.
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
-    lead = min(leading, dim)
-    ordered = written(in_grid_order(classes, directions(classes, dim, lead), radius, interval), "grid")
-    found = written(linked(ordered, written(near_intervals(ordered, radius, lead), "near"), radius, threshold, lead), "linked")
+    found = rows.sparkSession.createDataFrame([], "key binary, links long, root binary")
+    # A length of one class has no pair to compare.
+    for dim in sorted(r["dim"] for r in classes.groupBy("dim").count().where("count > 1").collect()):
+        mine, lead = classes.where(F.col("dim") == dim), min(leading, dim)
+        ordered = written(in_grid_order(mine, directions(mine, dim, lead), radius, interval), "grid")
+        found = found.union(written(linked(ordered, written(near_intervals(ordered, radius, lead), "near"), radius, threshold, lead), "linked"))
     group = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     known = classes.select("key", "least", "n").join(links, "key", "left").join(group.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     known = written(known, "known")
     lowest = known.groupBy("comp").agg(F.min("least").alias("lowest"))
     done = written(known.join(lowest, "comp").select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "lowest"), "done")
-    mine = F.when(F.col("dim") == dim, F.col("key"))
-    out = all_rows.select("id", mine.alias("key")).join(done, "key", "left")
+    out = all_rows.select("id", "key").join(done, "key", "left")
     component = F.coalesce("lowest", "id")
     return out.select(F.col("id").alias(id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

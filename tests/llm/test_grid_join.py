@@ -62,6 +62,23 @@ def test_other_lengths_link_with_nothing(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
 
 
+def test_every_length_is_joined(spark):
+    rng = np.random.default_rng(7)
+    want, rows = [], []
+    for dim, n in ((1, 5), (3, 20), (12, 60)):
+        centre = rng.normal(size=(4, dim))
+        v = centre[rng.integers(0, 4, n)] + rng.normal(size=(n, dim)) * 0.1
+        part = [(100 * dim + i, x.tolist()) for i, x in enumerate(np.concatenate([v, v[:2]]))]
+        want += brute(part)
+        rows += part
+    one = [(7, [3.0, 4.0]), (8, [3.0, 4.0])]  # a length of one class
+    want, rows = want + brute(one), rows + one
+    got = near_duplicates(spark.createDataFrame([(i, v, 5, "k") for i, v in rows], SCHEMA), interval=16).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    # Links that vectors of other than the most frequent length have.
+    assert sum(r.n_links for r in got if r.vec_id < 1200) == sum(n for i, n, _, _ in want if i < 1200) > 0
+
+
 def test_whole_table(spark):
     path = "/root/testdata/sf0.1/embeddings.parquet"
     t = pq.read_table(path)
