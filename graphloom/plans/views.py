@@ -86,7 +86,7 @@ CASE WHEN k % 5 < 3 THEN 'typescript' WHEN k % 5 = 3 THEN 'python' ELSE 'go' END
 VIEWS["g_violations"] = """SELECT source AS root_id, lang || '/' || source || '/d' || CAST(doc_id AS STRING) AS path,
 CASE WHEN lower(text) LIKE '%license%' THEN 'eval' WHEN lower(text) LIKE '%password%' OR lower(text) LIKE '%secret%' OR lower(text) LIKE '%token%' THEN 'unsafe'
 WHEN text LIKE '%@%' THEN 'Proxy' WHEN text LIKE '%!!%' THEN 'with' ELSE 'monkey_patch' END AS kind, CAST(doc_id % 50 + 1 AS INT) AS line, substring(text, 1, 20) AS snippet
-FROM documents WHERE source <> 'src3' AND (lower(text) LIKE '%license%' OR lower(text) LIKE '%password%' OR lower(text) LIKE '%secret%' OR lower(text) LIKE '%token%' OR text LIKE '%@%' OR text LIKE '%!!%' OR text LIKE '%***%')"""
+FROM documents WHERE lower(text) LIKE '%license%' OR lower(text) LIKE '%password%' OR lower(text) LIKE '%secret%' OR lower(text) LIKE '%token%' OR text LIKE '%@%' OR text LIKE '%!!%' OR text LIKE '%***%'"""
 
 VIEWS["g_docfiles"] = "SELECT source AS root_id, lang || '/' || source || '/d' || CAST(doc_id AS STRING) AS path, 'h' AS hash, lang AS language, CAST(doc_id AS BIGINT) AS mtime_ns, CAST(n_chars AS BIGINT) AS size FROM documents"
 
