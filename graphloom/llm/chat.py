@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +21,10 @@ from graphloom.llm.common import row_rank, written
 
 #: Turns of a conversation that are ranked in one task.
 TURNS = 256
-#: Longest chain of dependencies that is followed; what lies beyond, as cycles do, is marked.
+#: Levels of dependencies that joins follow; longer chains are followed by conversation.
 MOST_LEVELS = 32
+#: Depth of what depends on a cycle: after all else of its turn.
+LAST = (1 << 31) - 1
 
 _TYPES = {"string": str, "boolean": bool, "array": list, "object": dict, "null": type(None)}
 
@@ -116,9 +119,11 @@ def nodes(messages: DataFrame, tools: dict[str, dict] | None, conv: str, turn: s
 def order_keys(linked: DataFrame, edges: DataFrame) -> DataFrame:
     """Per node (nid) its eff and depth, such that what it needs sorts before it.
 
-    ``linked`` (nid, turn), ``edges`` (nid, before), both written. eff is the greatest turn of a
-    node and all it needs, depth the longest chain to it. Only nodes that need something are
-    joined. A chain that does not settle within the levels, as a cycle does not, is cyclic.
+    ``linked`` (nid, conv, turn), ``edges`` (nid, before), both written. eff is the greatest turn
+    of a node and all it needs, depth the longest chain to it. Only nodes that need something are
+    joined. What has not settled within the levels lies on long chains or behind cycles; that rest
+    is placed in one task a conversation, in time linear in its edges. Cyclic is what can never be
+    placed: the nodes of cycles and those that need them.
     """
     turns = linked.select("nid", "turn")
     state = written(edges.select("nid").union(edges.select("before")).distinct().join(turns, "nid").select("nid", F.coalesce("turn", F.lit(0)).alias("eff"), F.lit(0).alias("depth")), "order")
@@ -133,7 +138,51 @@ def order_keys(linked: DataFrame, edges: DataFrame) -> DataFrame:
             break
     if moved is None:
         return state.withColumn("cyclic", F.lit(False))
-    return state.join(moved.withColumn("cyclic", F.lit(True)), "nid", "left").withColumn("cyclic", F.coalesce("cyclic", F.lit(False)))
+    needed = state.select(F.col("nid").alias("before"), F.col("eff").alias("e"), F.col("depth").alias("d")).join(moved.select(F.col("nid").alias("before"), F.lit(True).alias("open")), "before", "left")
+    rest = edges.join(moved, "nid").join(state.select("nid", "eff"), "nid").join(needed, "before").join(linked.select("nid", "conv"), "nid")
+    rest = rest.select("conv", "nid", "eff", "before", "e", "d", F.coalesce("open", F.lit(False)).alias("open"))
+    settled = written(rest.groupBy("conv").applyInArrow(place_rest, "nid long, last long, far int, cyclic boolean"), "settled")
+    return state.join(settled, "nid", "left").select("nid", F.coalesce("last", "eff").alias("eff"), F.coalesce("far", "depth").alias("depth"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+
+
+def place_rest(table: pa.Table) -> pa.Table:
+    """The eff and depth of the nodes of one conversation that joins did not settle.
+
+    Rows (nid, eff, before, e, d, open): a node, the greatest turn known for it, and one node that
+    it needs with its eff and depth, which are final unless it is ``open`` itself.
+    """
+    nid, before, still = (table[c].to_numpy() for c in ("nid", "before", "open"))
+    names, first, node = np.unique(nid, return_index=True, return_inverse=True)
+    eff, depth = table["eff"].to_numpy()[first].copy(), np.zeros(len(names), np.int64)
+    np.maximum.at(eff, node[~still], table["e"].to_numpy()[~still])
+    np.maximum.at(depth, node[~still], table["d"].to_numpy()[~still].astype(np.int64) + 1)
+    source, target = np.searchsorted(names, before[still]), node[still]
+    order = np.argsort(source, kind="stable")
+    source, target = source[order], target[order]
+    start = np.searchsorted(source, np.arange(len(names) + 1)).tolist()
+    target, eff, depth, waits = target.tolist(), eff.tolist(), depth.tolist(), np.bincount(target, minlength=len(names)).tolist()
+    ready = [k for k, w in enumerate(waits) if not w]
+    while ready:
+        k = ready.pop()
+        for t in target[start[k] : start[k + 1]]:
+            eff[t], depth[t], waits[t] = max(eff[t], eff[k]), max(depth[t], depth[k] + 1), waits[t] - 1
+            if not waits[t]:
+                ready.append(t)
+    # Turns go round cycles from the greatest on, so each node takes one once.
+    never = [k for k, w in enumerate(waits) if w]
+    seen = set()
+    for top in sorted(never, key=lambda k: -eff[k]):
+        ready = [] if top in seen else [top]
+        seen.add(top)
+        while ready:
+            k = ready.pop()
+            depth[k] = LAST
+            for t in target[start[k] : start[k + 1]]:
+                if t not in seen:
+                    seen.add(t)
+                    eff[t] = eff[k]
+                    ready.append(t)
+    return pa.table({"nid": pa.array(names, pa.int64()), "last": pa.array(eff, pa.int64()), "far": pa.array(depth, pa.int32()), "cyclic": pa.array([w > 0 for w in waits], pa.bool_())})
 
 
 def link(messages: DataFrame, tools: dict[str, dict] | None = None, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -142,7 +191,7 @@ def link(messages: DataFrame, tools: dict[str, dict] | None = None, conv: str =
     ``position`` is the node's gapless place in its conversation: by turn, but results follow
     their calls and calls what they depend on. A result links to the call with its identifier
     (of several, the first); ``valid`` is false for calls that break their tool's schema,
-    results without a call, and cycles. Null conversations form one conversation, null turns
+    results without a call, and cycles with all that needs them. Null conversations form one conversation, null turns
     sort first and ties are broken by the canonical JSON. Repeated messages stay repeated.
     Other columns are not read; an empty table gives an empty result.
     """

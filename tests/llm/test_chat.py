@@ -59,3 +59,21 @@ def test_long_conversation_is_ranked_in_order(spark):
     rows = [(7, (i * 7919) % 1000, "user", f"m{i}") for i in range(1000)]
     part = run(spark, rows)[7]
     assert [r.turn for r in part] == sorted(r.turn for r in part)
+
+
+def test_long_chains_are_placed_and_only_cycles_are_marked(spark):
+    n = 80
+    # One turn of calls, each needing the one before, written backwards; a second need skips ahead.
+    chain = [(f"k{i}", "add", {"a": i}, [f"k{i - 1}", f"k{i // 2}"] if i else []) for i in range(n)]
+    rows = [(1, 0, "assistant", calls(*reversed(chain))), (1, 1, "tool", result(f"k{n - 1}"))]
+    # A chain over turns whose first call comes last; a cycle, what needs it, and a chain beside it.
+    rows += [(2, i, "assistant", calls((f"k{n - 1 - i}", "add", {"a": i}, [f"k{n - 2 - i}"] if i < n - 1 else []))) for i in range(n)]
+    rows += [(3, 0, "assistant", calls(("x", "add", {"a": 1}, ["y"]), ("y", "add", {"a": 1}, ["x"]), ("z", "add", {"a": 1}, ["y"]), *chain)), (3, 1, "tool", result("z"))]
+    by = run(spark, rows)
+    for c in (1, 2, 3):
+        place = {r.call_id: r.position for r in by[c] if r.kind == "call"}
+        assert all(place[f"k{i - 1}"] < place[f"k{i}"] for i in range(1, n))
+    assert by[1][-1].kind == "result" and by[3][-1].kind == "result"
+    assert all(r.valid for c in (1, 2) for r in by[c])
+    assert {(r.kind, r.call_id) for r in by[3] if "cyclic" in r.error} == {("call", "x"), ("call", "y"), ("call", "z"), ("result", "z")}
+    assert all(r.valid == ("cyclic" not in r.error) for r in by[3])
