@@ -146,6 +146,21 @@ def importers_of_package(f):
     return got.select(*REF[:-1], F.col("rank").cast("long").alias("rank"), "external_dependency")
 
 
+#: Every package that an import names, whether the workspace has it or not.
+PACKAGES = "p AS (SELECT DISTINCT split_part(module, '/', 1) AS package FROM g_refs WHERE kind = 'import' AND module <> '' AND module NOT LIKE '.%' AND module NOT LIKE '/%')"
+
+
+@query("importers_of_every_package", f"""WITH {ALIASES}, {PACKAGES}, hit AS (
+  SELECT p.package AS query, r.*, 0 AS tier FROM p JOIN g_refs r ON r.kind = 'import' AND (r.module = p.package OR r.module LIKE p.package || '/%')
+  UNION ALL SELECT a.package, r.*, 1 FROM p JOIN a ON a.package = p.package JOIN g_refs r ON r.kind = 'import' AND (r.resolved = a.barrel OR r.resolved = '@alias:' || a.package || '→' || a.root_id)),
+once AS (SELECT *, row_number() OVER (PARTITION BY query, path, line, name ORDER BY tier, {PLACE}) AS f FROM hit), ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY tier, {PLACE}) AS rank FROM once WHERE f = 1)
+SELECT {REF_SQL}, coalesce(module, '') <> '' AND module NOT LIKE '.%' AND module NOT LIKE '/%' AND resolved IS NULL AND split_part(module, '/', 1) NOT IN (SELECT package FROM a) AS external_dependency FROM ranked WHERE rank <= 50""")
+def importers_of_every_package(f):
+    asked = f["g_refs"].where("kind = 'import' AND module <> '' AND module NOT LIKE '.%' AND module NOT LIKE '/%'").select(F.split_part("module", F.lit("/"), F.lit(1)).alias("query")).distinct()
+    got = lookup.importers_of_package(f["g_refs"], asked, aliases(f))
+    return got.select(*REF[:-1], F.col("rank").cast("long").alias("rank"), "external_dependency")
+
+
 @query("external_dependency", f"""WITH {ALIASES}, m AS (SELECT module, resolved, CASE WHEN module LIKE '.%' OR module LIKE '/%' THEN '' ELSE split_part(module, '/', 1) END AS p FROM g_refs WHERE kind = 'import')
 SELECT module, coalesce(coalesce(module, '') <> '' AND module NOT LIKE '.%' AND module NOT LIKE '/%' AND resolved IS NULL AND a.package IS NULL, false) AS external_dependency, count(*) AS n FROM m LEFT JOIN a ON a.package = m.p GROUP BY 1, 2""")
 def external_dependency(f):

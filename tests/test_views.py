@@ -12,3 +12,10 @@ def test_violations_of_every_source(spark, tmp_path):
     assert got == {("src3", "unsafe"): 1, ("src3", "eval"): 1, ("src2", "with"): 1}
     gate = {r.bucket: (r.violations, r.eligible) for r in CATALOG["scoped_sound_candidates"][0](f).collect()}
     assert gate == {"src1": (0, True), "src2": (1, False), "src3": (2, False)}
+
+
+def test_every_imported_package_is_asked_for(spark):
+    f = frames(spark, "/root/testdata/sf0.001")
+    named = {r.module.split("/")[0] for r in f["g_refs"].where("kind = 'import' AND module LIKE 'pkg%'").select("module").distinct().collect()}
+    got = {r.query for r in CATALOG["importers_of_every_package"][0](f).select("query").distinct().collect()}
+    assert got == named and len(named) == 50
