@@ -93,7 +93,7 @@ VIEWS["g_docfiles"] = "SELECT source AS root_id, lang || '/' || source || '/d' |
 VIEWS["g_events"] = """SELECT 'root' || CAST(user_id % 3 AS STRING) AS root_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'U' || CAST(user_id % 20 AS STRING) END AS name, 'call' AS kind,
 'app/U' || CAST(user_id AS STRING) AS path, CAST(event_id % 300 + 1 AS INT) AS line, CASE WHEN event_id % 5 = 0 THEN NULL ELSE 'E' || CAST(event_id % 7 AS STRING) END AS enclosing, event_type AS module, CAST(NULL AS STRING) AS resolved,
 CAST(NULL AS STRING) AS qualifier, CASE WHEN event_id % 2 = 0 THEN 'dynamic_candidate' ELSE 'heuristic' END AS confidence, CAST(NULL AS STRING) AS qual_name,
-CASE WHEN event_id % 2 = 0 THEN 'ts.event.emit' ELSE 'ts.event.subscribe' END AS rule_id FROM events WHERE event_id % 4 < 3"""
+CASE WHEN event_id % 2 = 0 THEN 'ts.event.emit' ELSE 'ts.event.subscribe' END AS rule_id FROM events"""
 
 _EDGES = """SELECT 'P' || CAST(l_partkey % 300 AS STRING) AS name, 'supplier/S' || CAST(l_suppkey % 40 AS STRING) AS path, CAST(l_linenumber AS INT) AS line,
 CASE l_returnflag WHEN 'A' THEN 'exact' ELSE 'heuristic' END AS confidence, CASE WHEN l_orderkey % 5 = 0 THEN {none} ELSE 'O' || CAST(l_orderkey % 30 AS STRING) END AS enclosing, '{root}' AS root_id

@@ -19,3 +19,10 @@ def test_every_imported_package_is_asked_for(spark):
     named = {r.module.split("/")[0] for r in f["g_refs"].where("kind = 'import' AND module LIKE 'pkg%'").select("module").distinct().collect()}
     got = {r.query for r in CATALOG["importers_of_every_package"][0](f).select("query").distinct().collect()}
     assert got == named and len(named) == 50
+
+
+def test_every_subscription_is_dispatched(spark, tmp_path):
+    # The only handler of user 7 subscribes in an event whose id is 3 modulo 4.
+    spark.createDataFrame([(2, 1, "click"), (3, 7, "click")], "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = CATALOG["event_dispatch"][0](frames(spark, str(tmp_path))).collect()
+    assert [(r.name, r.path, r.module) for r in got] == [("U7", "app/U1", "click")]
