@@ -64,7 +64,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def spent(*tables: DataFrame) -> None:
+    """Delete tables that :func:`written` made and no later step reads."""
+    for table in tables:
+        delete(table.sparkSession, table._written_at)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -127,9 +135,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     live = written(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "links")
     found = None
     while not live.isEmpty():
+        before, known = live, found
         both = live.select(F.col("a").alias("node"), F.col("b").alias("to")).union(live.select(F.col("b"), F.col("a")))
         up = both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("up"))
-        up = written(up, "hooks")
+        first = up = written(up, "hooks")
         for _ in range(2):
             up = up.alias("x").join(up.alias("y"), F.col("x.up") == F.col("y.node")).select(F.col("x.node").alias("node"), F.col("y.up").alias("up"))
         up = written(up, "hooks")
@@ -141,6 +150,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         one = live.join(up.select(F.col("node").alias("a"), F.col("up").alias("ua")), "a")
         two = one.join(up.select(F.col("node").alias("b"), F.col("up").alias("ub")), "b").where("ua <> ub")
         live = written(two.select(F.greatest("ua", "ub").alias("a"), F.least("ua", "ub").alias("b")).distinct(), "links")
+        spent(before, first, up, *([known] if known is not None else []))
     if found is None:
-        found = live.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+        return written(live.select(F.col("a").alias("node"), F.col("b").alias("comp")), "found")
+    spent(live)
     return found

@@ -2,17 +2,23 @@
 
 Sets are compared inside bands of similar size. Within a band, two sets whose similarity
 reaches the threshold differ in at most k elements. The feature domain (64-bit shingle
-hashes) is cut into n1 parts and each part into three; in at least one part the sets differ in
-one element at most, so they agree on two of its three pieces. A signature is the content of
-two such pieces; enumerating the three pairs of pieces of every part gives signatures of which
-similar sets share at least one. Nothing else is guessed: candidates are checked on the sets.
+hashes) is cut into parts and each part into three; where the sets differ in one element of a
+part at most, they agree on two of its three pieces. A signature is the content of two such
+pieces; enumerating the three pairs of pieces of every part gives signatures of which similar
+sets share at least one. Nothing else is guessed: candidates are checked on the sets.
+
+A signature of two empty pieces says nothing, and unrelated sets share it. So there are t more
+parts than needed: similar sets then agree in t + 1 parts. A set in which at most t parts have
+such a signature drops these. In one of the t + 1 parts it has none, so the signature that it
+shares there stays on both sides; if neither set drops any, nothing changes.
 
 How the data move:
 
 - Equal sets form one class (copies are counted, never paired), and only classes are joined.
 - Signatures travel packed, some bytes each, to buckets of a bounded number of signatures. A
   bucket pairs the classes that share a signature if they are few; a larger group gives a star
-  and is remembered.
+  and is remembered. Buckets that one signature makes too large are split by signature instead,
+  counted before any row of it moves.
 - A histogram of a set's hashes (a byte for every few) bounds how much two sets can have in
   common; pairs that it excludes are dropped before any set is moved.
 - Sets are moved for candidate pairs only: first each class with its best partner, then the
@@ -23,6 +29,7 @@ How the data move:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -33,16 +40,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import slices
-from graphloom.llm.common import components, own_table, row_rank, small_batches, written
+from graphloom.llm.common import components, own_table, row_rank, small_batches, spent, written
 
 #: Ratio between the ends of a size band.
-BAND = 1.5
+BAND = 1.2
+#: Parts beyond those needed, as a share of them; so many may have signatures of empty pieces.
+SPARE = 0.1
 #: Classes that share a signature and are paired at once; more make a large group.
 FEW = 4
 #: Members of a large group that a task compares with as many others.
 GROUP_BLOCK = 2048
 #: Signatures of a bucket, about.
 BUCKET = 600_000
+#: A bucket with so many times more is split by signature.
+CROWDED = 4
+#: Tasks that share a signature's members where a bucket is split.
+SALTS = 64
 #: Pieces of the hash domain in a small set's histogram; a power of two.
 BINS = 256
 #: The same in a coarse histogram, which tells unrelated sets apart in fewer bytes.
@@ -151,11 +164,18 @@ def signatures(h: np.ndarray, percent: int) -> np.ndarray:
         if total is None:
             total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h + _B), dtype=np.uint64)))
         parts = (k + 2) // 2
+        spare = math.ceil(parts * SPARE)
+        parts += spare
         edges = (np.arange(1, 3 * parts, dtype=np.float64) / (3 * parts) * 2.0**64).astype(np.uint64)
-        at = total[np.concatenate(([0], np.searchsorted(h, edges), [size]))]
-        pieces = (at[1:] - at[:-1]).reshape(parts, 3)
+        at = np.concatenate(([0], np.searchsorted(h, edges), [size]))
+        empty = (at[1:] == at[:-1]).reshape(parts, 3)
+        pieces = (total[at[1:]] - total[at[:-1]]).reshape(parts, 3)
         name = mix(np.arange(3 * parts, dtype=np.uint64) + np.uint64(number << 40)).reshape(parts, 3)
-        out.append(mix((pieces.sum(1, dtype=np.uint64)[:, None] - pieces) ^ name).ravel())
+        found = mix((pieces.sum(1, dtype=np.uint64)[:, None] - pieces) ^ name)
+        blank = empty.sum(1)
+        if np.count_nonzero(blank >= 2) <= spare:
+            found = found[blank[:, None] - empty < 2]
+        out.append(found.ravel())
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -197,7 +217,7 @@ def packed(docs: DataFrame, words: int, percent: int, buckets: int, text: str) -
                 for c in range(0, len(keys), 60_000):
                     yield pack(keys[c : c + 60_000], list(found.values())[c : c + 60_000], buckets)
 
-    return docs.select(F.col(text)).mapInArrow(run, "bucket long, sig binary, who binary, keys binary")
+    return docs.select(F.col(text)).mapInArrow(run, "bucket long, n long, sig binary, who binary, keys binary")
 
 
 def pack(keys: np.ndarray, found: list[np.ndarray], buckets: int) -> pa.RecordBatch:
@@ -208,12 +228,51 @@ def pack(keys: np.ndarray, found: list[np.ndarray], buckets: int) -> pa.RecordBa
     sig, who, bucket = (sig // np.uint64(buckets))[order], who[order], bucket[order]
     low = sig.view(np.uint8).reshape(-1, 8)[:, :6]
     edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
-    rows: list[list] = [[], [], [], []]
+    rows: list[list] = [[], [], [], [], []]
     for a, b in pairwise(edges):
         mine, at = np.unique(who[a:b], return_inverse=True)
-        for column, value in zip(rows, (int(bucket[a]), low[a:b].tobytes(), at.astype(np.uint16).tobytes(), keys[mine].tobytes()), strict=True):
+        for column, value in zip(rows, (int(bucket[a]), b - a, low[a:b].tobytes(), at.astype(np.uint16).tobytes(), keys[mine].tobytes()), strict=True):
             column.append(value)
-    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *[pa.array(r, pa.binary()) for r in rows[1:]]], ["bucket", "sig", "who", "keys"])
+    return pa.RecordBatch.from_arrays([*[pa.array(r, pa.int64()) for r in rows[:2]], *[pa.array(r, pa.binary()) for r in rows[2:]]], ["bucket", "n", "sig", "who", "keys"])
+
+
+def unpacked(sigs: pa.ChunkedArray | pa.Array, who: pa.ChunkedArray | pa.Array, keys: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of packed rows, without their bucket, and whose they are."""
+    sig, key = [], []
+    for s, w, k in zip(sigs, who, keys, strict=True):
+        raw = np.frombuffer(s.as_buffer(), np.uint8).reshape(-1, 6)
+        wide = np.zeros((len(raw), 8), np.uint8)
+        wide[:, :6] = raw
+        sig.append(wide.view(np.int64).ravel())
+        key.append(np.frombuffer(k.as_buffer(), np.int64)[np.frombuffer(w.as_buffer(), np.uint16)])
+    return np.concatenate(sig), np.concatenate(key)
+
+
+def split(rows: DataFrame) -> DataFrame:
+    """What :func:`meet` gives, for buckets with a signature that too many classes share.
+
+    Signatures are counted first, by an aggregate that combines before it moves rows; each member
+    of a large group then learns its group from that count, salted over :data:`SALTS` tasks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sig, key = unpacked(*(batch.column(c).slice(i, 1) for c in (1, 2, 3)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), batch.column(0)[i].as_py(), np.int64)), pa.array(sig), pa.array(key)], ["bucket", "sig", "key"])
+
+    each = written(rows.select("bucket", "sig", "who", "keys").mapInArrow(run, "bucket long, sig long, key long").distinct(), "signatures")
+    count = each.groupBy("bucket", "sig").agg(F.count(F.lit(1)).alias("m"), F.min("key").alias("first")).where("m > 1")
+    count = written(count, "counts")
+    few = each.join(count.where(F.col("m") <= FEW).select("bucket", "sig"), ["bucket", "sig"]).groupBy("bucket", "sig").agg(F.sort_array(F.collect_list("key")).alias("all"))
+    pairs = few.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b")).where("a < b")
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    large = count.where(F.col("m") > FEW).select("bucket", "sig", "first", salt.alias("salt"))
+    members = each.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(large, ["bucket", "sig", "salt"])
+    members = written(members.select(F.xxhash64("bucket", "sig").alias("g"), "first", "key"), "met")
+    pairs = written(pairs.union(members.where("first <> key").select("first", "key")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("w")), "met")
+    spent(each, count)
+    return pairs.union(members.select("g", "key", F.lit(0).cast("long")))
 
 
 def meet(table: pa.Table) -> pa.Table:
@@ -222,15 +281,7 @@ def meet(table: pa.Table) -> pa.Table:
     Rows (a, b, w): a pair and how many signatures it shares here; or, with w = 0, a member b
     of the large group a.
     """
-    sigs, keys = [], []
-    for s, w, k in zip(table["sig"], table["who"], table["keys"], strict=True):
-        raw = np.frombuffer(s.as_buffer(), np.uint8).reshape(-1, 6)
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :6] = raw
-        sigs.append(wide.view(np.int64).ravel())
-        keys.append(np.frombuffer(k.as_buffer(), np.int64)[np.frombuffer(w.as_buffer(), np.uint16)])
-    sig, key = np.concatenate(sigs), np.concatenate(keys)
-    del sigs, keys
+    sig, key = unpacked(table["sig"], table["who"], table["keys"])
     # Most signatures occur once and go at once.
     order = np.argsort(sig)
     same = sig[order[1:]] == sig[order[:-1]]
@@ -260,7 +311,7 @@ def meet(table: pa.Table) -> pa.Table:
     a, b = a[order], b[order]
     edge = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, np.int64)
     w = np.diff(np.concatenate((edge, [len(a)])))
-    group = mix(sig[large].view(np.uint64) + _A * np.uint64(table["bucket"][0].as_py() + 1)).view(np.int64)
+    group = mix(sig[large].view(np.uint64) + mix(np.array([table["bucket"][0].as_py() + 1], np.uint64))).view(np.int64)
     return pa.table({"a": np.concatenate((a[edge], group)), "b": np.concatenate((b[edge], key[large])), "w": np.concatenate((w, np.zeros(len(group), np.int64)))})
 
 
@@ -313,7 +364,9 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
     made = texts.mapInArrow(sets, "key long, elements binary").join(chosen.select("key"), "key", "left_semi").dropDuplicates(["key"])
     made = written(made, "sets")
     rows = pairs.join(made.select(F.col("key").alias("a"), F.col("elements").alias("x")), "a").join(made.select(F.col("key").alias("b"), F.col("elements").alias("y")), "b")
-    return written(rows.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "similar")
+    out = written(rows.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "similar")
+    spent(pairs, chosen, made)
+    return out
 
 
 def labelled(rows: DataFrame, comps: DataFrame, key: str, out: str) -> DataFrame:
@@ -322,22 +375,29 @@ def labelled(rows: DataFrame, comps: DataFrame, key: str, out: str) -> DataFrame
     return rows.join(known, key, "left").withColumn(out, F.coalesce("_c", key)).drop("_c")
 
 
-def large_pairs(members: DataFrame, classes: DataFrame, comps: DataFrame, percent: int, nearest: bool, sketch: str) -> DataFrame:
+def large_pairs(members: DataFrame, classes: DataFrame, comps: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Plausible pairs (g, a, b) in different components inside the large groups g.
 
-    ``members`` (g, key). Groups within one component are done. The others are cut into blocks,
-    and each two blocks of a group are compared in one task by the histograms ``sketch``. With
-    ``nearest`` each component gives its nearest plausible pair only.
+    ``members`` (g, key). Groups within one component are done. Of the others, the members of the
+    largest component are compared with the rest and the rest with each other, so a group that is
+    nearly merged costs in proportion to its size. Each two blocks of members meet in one task, by
+    their histograms. With ``nearest`` each component gives its nearest plausible pair only.
     """
     rows = written(labelled(members, comps, "key", "comp"), "members")
-    mixed = rows.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("g", "m")
-    rows = written(rows.join(mixed, "g"), "mixed")
+    mixed = rows.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("g")
+    mixed = mixed.agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    mixed = mixed.select("g", "m", F.col("top.comp").alias("lead"), F.col("top.c").alias("leads"))
+    mixed = written(rows.join(mixed, "g").withColumn("main", F.col("comp") == F.col("lead")), "mixed")
     # Only groups of several blocks need ranks.
-    small = rows.where(F.col("m") <= GROUP_BLOCK).withColumn("at", F.lit(0).cast("long"))
-    rows = small.unionByName(row_rank(rows.where(F.col("m") > GROUP_BLOCK), ["g"], ["key"], "at"))
-    rows = rows.withColumn("block", F.floor(F.col("at") / GROUP_BLOCK)).withColumn("blocks", F.floor((F.col("m") - 1) / GROUP_BLOCK))
-    rows = rows.join(classes.select("key", "n", F.col(sketch).alias("sketch")), "key")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks"))))
+    rows = mixed.where(F.col("m") <= GROUP_BLOCK).select("g", "key", "comp", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("last"))
+    blocks = lambda n: F.floor((n + (GROUP_BLOCK - 1)) / GROUP_BLOCK)
+    rest, main = blocks(F.col("m") - F.col("leads")), blocks(F.col("leads"))
+    wide = row_rank(mixed.where(F.col("m") > GROUP_BLOCK), ["g", "main"], ["key"], "at")
+    wide = wide.withColumn("block", F.floor(F.col("at") / GROUP_BLOCK) + F.when(F.col("main"), rest).otherwise(0))
+    wide = wide.withColumn("last", rest - 1 + F.when(F.col("main"), 0).otherwise(main))
+    rows = rows.unionByName(wide.select("g", "key", "comp", "block", "last"))
+    rows = rows.join(classes.select("key", "n", "sketch"), "key")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
     rows = rows.select("g", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "key", "comp", "n", "sketch")
 
     def run(table: pa.Table) -> pa.Table:
@@ -347,7 +407,7 @@ def large_pairs(members: DataFrame, classes: DataFrame, comps: DataFrame, percen
         first, last = table["p"][0].as_py(), table["q"][0].as_py()
         x, y = np.flatnonzero(block == first), np.flatnonzero(block == last)
         left, right, differ = [], [], []
-        step = max(1, AT_ONCE // len(y))
+        step = max(1, AT_ONCE // max(1, len(y)))
         for s in range(0, len(x), step):
             # Sizes and components first: histograms are compared only where they can matter.
             i = x[s : s + step, None]
@@ -379,6 +439,13 @@ def large_pairs(members: DataFrame, classes: DataFrame, comps: DataFrame, percen
     return rows.groupBy("g", "p", "q").applyInArrow(run, "g long, a long, b long")
 
 
+def joined(similar: DataFrame, comps: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All similar pairs and their components, after ``new`` ones; the old tables are deleted."""
+    grown = written(similar.union(new), "similar")
+    spent(similar, new, comps)
+    return grown, components(grown)
+
+
 def join(docs: DataFrame, words: int = 3, percent: int = 90, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id, mark (xxhash64 of the text), n_shingles, component_id.
 
@@ -397,14 +464,25 @@ def grouped(docs: DataFrame, words: int, percent: int, id: str, text: str) -> Da
     rows = written(described(docs, words, id, text), "described")
     classes = written(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("coarse").alias("coarse")), "classes")
     elements = classes.agg(F.sum("n")).first()[0] or 0
-    expected = elements * 3 * (100 - percent) / (100 + percent) * BAND
+    # Each set has signatures in about so many bands.
+    spread = 1 + math.log(100 / percent) / math.log(BAND)
+    expected = elements * 3 * (100 - percent) / (100 + percent) * BAND * (1 + SPARE) * spread
     buckets = max(8, int(expected / BUCKET) + 1)
-    met = packed(docs, words, percent, buckets, text).groupBy("bucket").applyInArrow(meet, "a long, b long, w long")
-    met = written(met, "met")
+    sent = written(packed(docs, words, percent, buckets, text), "packed")
+    size = sent.groupBy("bucket").agg(F.sum("n").alias("total")).where(F.col("total") > CROWDED * BUCKET).select("bucket")
+    size = written(size, "crowded")
+    usual = sent if size.isEmpty() else sent.join(size, "bucket", "left_anti")
+    met = written(usual.drop("n").groupBy("bucket").applyInArrow(meet, "a long, b long, w long"), "met")
+    if not size.isEmpty():
+        usual, crowded = met, split(sent.join(size, "bucket", "left_semi"))
+        met = written(usual.union(crowded), "met")
+        spent(usual)
+    spent(sent, size)
     pairs = met.where("w > 0").groupBy("a", "b").agg(F.sum("w").alias("w"))
     # Most pairs fall to the coarse histograms; the others meet the fine ones.
-    pairs = written(plausible(pairs, classes, percent, "coarse"), "plausible")
-    pairs = written(plausible(pairs, classes, percent, "sketch"), "plausible")
+    rough = written(plausible(pairs, classes, percent, "coarse"), "plausible")
+    pairs = written(plausible(rough, classes, percent, "sketch"), "plausible")
+    spent(rough)
 
     # Each class with the partner that shares most with it.
     ends = pairs.select("a", "b", "w", F.col("a").alias("node")).union(pairs.select("a", "b", "w", F.col("b").alias("node")))
@@ -415,32 +493,33 @@ def grouped(docs: DataFrame, words: int, percent: int, id: str, text: str) -> Da
     rest = labelled(labelled(pairs.join(best, ["a", "b"], "left_anti"), comps, "a", "ca"), comps, "b", "cb").where("ca <> cb").select("a", "b")
     rest = written(rest, "rest")
     if not rest.isEmpty():
-        similar = written(similar.union(verified(rest, docs, classes, words, percent, id, text)), "similar")
-        comps = components(similar)
-    members = met.where("w = 0").select(F.col("a").alias("g"), F.col("b").alias("key"))
-    tried = pairs.select("a", "b")
-    if not members.isEmpty():
-        # Few pairs merge most components; what they leave apart is then compared in full.
-        nearest, turn = True, 0
-        while True:
-            # The first turn sorts out groups of unrelated sets; coarse histograms do for that.
-            found = written(large_pairs(members, classes, comps, percent, nearest, "sketch" if turn else "coarse"), "found")
-            more = found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-            more = written(more if turn else plausible(more, classes, percent, "sketch"), "more")
-            merged = False
-            if not more.isEmpty():
-                new = verified(more, docs, classes, words, percent, id, text)
-                tried = written(tried.union(more), "tried")
-                merged = not new.isEmpty()
-                if merged:
-                    similar = written(similar.union(new), "similar")
-                    comps = components(similar)
-            if not nearest:
-                break
-            # Components only grow: a group without a plausible pair now has none later.
-            members = written(members.join(found.select("g").distinct(), "g", "left_semi"), "members")
-            turn += 1
-            nearest = (merged or turn == 1) and turn < ROUNDS
+        similar, comps = joined(similar, comps, verified(rest, docs, classes, words, percent, id, text))
+    tried = written(best.union(rest), "tried")
+    spent(best, rest, pairs)
+    members = written(met.where("w = 0").select(F.col("a").alias("g"), F.col("b").alias("key")), "groups")
+    spent(met)
+    # Few pairs merge most components; what they leave apart is then compared in full.
+    nearest, turn = True, 0
+    while not members.isEmpty():
+        found = written(large_pairs(members, classes, comps, percent, nearest), "found")
+        more = written(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "more")
+        merged = False
+        if not more.isEmpty():
+            new = verified(more, docs, classes, words, percent, id, text)
+            grown = written(tried.union(more), "tried")
+            spent(tried)
+            tried, merged = grown, not new.isEmpty()
+            if merged:
+                similar, comps = joined(similar, comps, new)
+        # Components only grow: a group without a plausible pair now has none later.
+        left = written(members.join(found.select("g").distinct(), "g", "left_semi"), "groups")
+        spent(members, found, more)
+        members = left
+        if not nearest:
+            break
+        turn += 1
+        nearest = (merged or turn == 1) and turn < ROUNDS
+    spent(tried, members, similar)
 
     known = labelled(classes.select("key", "least"), comps, "key", "comp")
     lowest = written(known.groupBy("comp").agg(F.min("least").alias("component")), "lowest")

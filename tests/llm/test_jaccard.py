@@ -67,7 +67,9 @@ def test_against_brute_force(spark, n, percent):
     check(spark, list(zip(ids, texts, strict=True)), n, percent)
 
 
-def test_large_groups_are_whole(spark, monkeypatch):
+@pytest.mark.parametrize("crowded", [4, 0])
+def test_large_groups_are_whole(spark, monkeypatch, crowded):
+    monkeypatch.setattr(jaccard, "CROWDED", crowded)  # with 0, every bucket is split by signature
     monkeypatch.setattr(jaccard, "FEW", 2)
     monkeypatch.setattr(jaccard, "GROUP_BLOCK", 8)
     rng = random.Random(1)
@@ -98,8 +100,10 @@ def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(0)
     for percent in (80, 90):
         for size in (10, 12, 19, 40, 150, 151, 600):
-            for _ in range(20):
-                a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
+            for _ in range(40):
+                # In every fourth set the hashes lie in a small part of the domain, so most pieces are empty.
+                top = 1 << (63 if _ % 4 else 60)
+                a = np.unique(rng.integers(0, top, size, dtype=np.uint64) * np.uint64(2))
                 room = len(a) * (100 - percent) // (100 + percent)
                 drop = rng.integers(0, room + 1)
                 b = np.unique(np.concatenate((rng.permutation(a)[drop:], rng.integers(0, 1 << 63, room - drop, dtype=np.uint64) * np.uint64(2))))
