@@ -17,8 +17,8 @@ How the data move:
 - Equal sets form one class (copies are counted, never paired), and only classes are joined.
 - Signatures travel packed, some bytes each, to buckets of a bounded number of signatures. A
   bucket pairs the classes that share a signature if they are few; a larger group gives a star
-  and is remembered. Buckets that one signature makes too large are split by signature instead,
-  counted before any row of it moves.
+  and is remembered. A bucket that common signatures make too large for a task is passed on as
+  rows, whose signatures are counted before they meet.
 - A histogram of a set's hashes (a byte for every few) bounds how much two sets can have in
   common; pairs that it excludes are dropped before any set is moved.
 - Sets are moved for candidate pairs only: first each class with its best partner, then the
@@ -47,12 +47,12 @@ BAND = 1.2
 #: Parts beyond those needed, as a share of them; so many may have signatures of empty pieces.
 SPARE = 0.1
 #: Classes that share a signature and are paired at once; more make a large group.
-FEW = 4
+FEW = 8
 #: Members of a large group that a task compares with as many others.
 GROUP_BLOCK = 2048
 #: Signatures of a bucket, about.
 BUCKET = 600_000
-#: A bucket with so many times more is split by signature.
+#: A bucket with so many times more is passed on.
 CROWDED = 4
 #: Tasks that share a signature's members where a bucket is split.
 SALTS = 64
@@ -217,7 +217,7 @@ def packed(docs: DataFrame, words: int, percent: int, buckets: int, text: str) -
                 for c in range(0, len(keys), 60_000):
                     yield pack(keys[c : c + 60_000], list(found.values())[c : c + 60_000], buckets)
 
-    return docs.select(F.col(text)).mapInArrow(run, "bucket long, n long, sig binary, who binary, keys binary")
+    return docs.select(F.col(text)).mapInArrow(run, "bucket long, sig binary, who binary, keys binary")
 
 
 def pack(keys: np.ndarray, found: list[np.ndarray], buckets: int) -> pa.RecordBatch:
@@ -228,15 +228,15 @@ def pack(keys: np.ndarray, found: list[np.ndarray], buckets: int) -> pa.RecordBa
     sig, who, bucket = (sig // np.uint64(buckets))[order], who[order], bucket[order]
     low = sig.view(np.uint8).reshape(-1, 8)[:, :6]
     edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
-    rows: list[list] = [[], [], [], [], []]
+    rows: list[list] = [[], [], [], []]
     for a, b in pairwise(edges):
         mine, at = np.unique(who[a:b], return_inverse=True)
-        for column, value in zip(rows, (int(bucket[a]), b - a, low[a:b].tobytes(), at.astype(np.uint16).tobytes(), keys[mine].tobytes()), strict=True):
+        for column, value in zip(rows, (int(bucket[a]), low[a:b].tobytes(), at.astype(np.uint16).tobytes(), keys[mine].tobytes()), strict=True):
             column.append(value)
-    return pa.RecordBatch.from_arrays([*[pa.array(r, pa.int64()) for r in rows[:2]], *[pa.array(r, pa.binary()) for r in rows[2:]]], ["bucket", "n", "sig", "who", "keys"])
+    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *[pa.array(r, pa.binary()) for r in rows[1:]]], ["bucket", "sig", "who", "keys"])
 
 
-def unpacked(sigs: pa.ChunkedArray | pa.Array, who: pa.ChunkedArray | pa.Array, keys: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def unpacked(sigs: pa.Array, who: pa.Array, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The signatures of packed rows, without their bucket, and whose they are."""
     sig, key = [], []
     for s, w, k in zip(sigs, who, keys, strict=True):
@@ -249,39 +249,53 @@ def unpacked(sigs: pa.ChunkedArray | pa.Array, who: pa.ChunkedArray | pa.Array,
 
 
 def split(rows: DataFrame) -> DataFrame:
-    """What :func:`meet` gives, for buckets with a signature that too many classes share.
+    """What :func:`meet` gives, for signatures ``g`` of classes ``key`` that it passed on.
 
     Signatures are counted first, by an aggregate that combines before it moves rows; each member
     of a large group then learns its group from that count, salted over :data:`SALTS` tasks.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                sig, key = unpacked(*(batch.column(c).slice(i, 1) for c in (1, 2, 3)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), batch.column(0)[i].as_py(), np.int64)), pa.array(sig), pa.array(key)], ["bucket", "sig", "key"])
-
-    each = written(rows.select("bucket", "sig", "who", "keys").mapInArrow(run, "bucket long, sig long, key long").distinct(), "signatures")
-    count = each.groupBy("bucket", "sig").agg(F.count(F.lit(1)).alias("m"), F.min("key").alias("first")).where("m > 1")
+    each = written(rows.distinct(), "signatures")
+    count = each.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min("key").alias("first")).where("m > 1")
     count = written(count, "counts")
-    few = each.join(count.where(F.col("m") <= FEW).select("bucket", "sig"), ["bucket", "sig"]).groupBy("bucket", "sig").agg(F.sort_array(F.collect_list("key")).alias("all"))
+    few = each.join(count.where(F.col("m") <= FEW).select("g"), "g").groupBy("g").agg(F.sort_array(F.collect_list("key")).alias("all"))
     pairs = few.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b")).where("a < b")
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    large = count.where(F.col("m") > FEW).select("bucket", "sig", "first", salt.alias("salt"))
-    members = each.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(large, ["bucket", "sig", "salt"])
-    members = written(members.select(F.xxhash64("bucket", "sig").alias("g"), "first", "key"), "met")
+    large = count.where(F.col("m") > FEW).select("g", "first", salt.alias("salt"))
+    members = each.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(large, ["g", "salt"])
+    members = written(members.select("g", "first", "key"), "met")
     pairs = written(pairs.union(members.where("first <> key").select("first", "key")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("w")), "met")
     spent(each, count)
     return pairs.union(members.select("g", "key", F.lit(0).cast("long")))
 
 
-def meet(table: pa.Table) -> pa.Table:
+def named(sig: np.ndarray, bucket: int) -> np.ndarray:
+    """Signatures of a bucket, told apart from those of others."""
+    return mix(sig.view(np.uint64) + mix(np.array([bucket + 1], np.uint64))).view(np.int64)
+
+
+def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The classes of one bucket that share signatures.
 
     Rows (a, b, w): a pair and how many signatures it shares here; or, with w = 0, a member b
-    of the large group a.
+    of the large group a. A crowded bucket gives each signature a and its class b, with w = -1.
     """
-    sig, key = unpacked(table["sig"], table["who"], table["keys"])
+    bucket, sigs, keys, total, crowded = 0, [], [], 0, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bucket = batch.column("bucket")[0].as_py()
+        sig, key = unpacked(batch.column("sig"), batch.column("who"), batch.column("keys"))
+        sigs.append(sig)
+        keys.append(key)
+        total += len(sig)
+        crowded = crowded or total > CROWDED * BUCKET
+        while crowded and sigs:
+            g, b = named(sigs.pop(), bucket), keys.pop()
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(b), pa.array(np.full(len(g), -1))], ["a", "b", "w"])
+    if not sigs:
+        return
+    sig, key = np.concatenate(sigs), np.concatenate(keys)
+    del sigs, keys
     # Most signatures occur once and go at once.
     order = np.argsort(sig)
     same = sig[order[1:]] == sig[order[:-1]]
@@ -311,8 +325,9 @@ def meet(table: pa.Table) -> pa.Table:
     a, b = a[order], b[order]
     edge = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, np.int64)
     w = np.diff(np.concatenate((edge, [len(a)])))
-    group = mix(sig[large].view(np.uint64) + mix(np.array([table["bucket"][0].as_py() + 1], np.uint64))).view(np.int64)
-    return pa.table({"a": np.concatenate((a[edge], group)), "b": np.concatenate((b[edge], key[large])), "w": np.concatenate((w, np.zeros(len(group), np.int64)))})
+    group = named(sig[large], bucket)
+    out = (np.concatenate((a[edge], group)), np.concatenate((b[edge], key[large])), np.concatenate((w, np.zeros(len(group), np.int64))))
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["a", "b", "w"])
 
 
 def within(differ: np.ndarray, nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
@@ -468,16 +483,12 @@ def grouped(docs: DataFrame, words: int, percent: int, id: str, text: str) -> Da
     spread = 1 + math.log(100 / percent) / math.log(BAND)
     expected = elements * 3 * (100 - percent) / (100 + percent) * BAND * (1 + SPARE) * spread
     buckets = max(8, int(expected / BUCKET) + 1)
-    sent = written(packed(docs, words, percent, buckets, text), "packed")
-    size = sent.groupBy("bucket").agg(F.sum("n").alias("total")).where(F.col("total") > CROWDED * BUCKET).select("bucket")
-    size = written(size, "crowded")
-    usual = sent if size.isEmpty() else sent.join(size, "bucket", "left_anti")
-    met = written(usual.drop("n").groupBy("bucket").applyInArrow(meet, "a long, b long, w long"), "met")
-    if not size.isEmpty():
-        usual, crowded = met, split(sent.join(size, "bucket", "left_semi"))
-        met = written(usual.union(crowded), "met")
-        spent(usual)
-    spent(sent, size)
+    met = written(packed(docs, words, percent, buckets, text).groupBy("bucket").applyInArrow(meet, "a long, b long, w long"), "met")
+    crowded = met.where("w < 0")
+    if not crowded.isEmpty():
+        whole = written(met.where("w >= 0").union(split(crowded.select(F.col("a").alias("g"), F.col("b").alias("key")))), "met")
+        spent(met)
+        met = whole
     pairs = met.where("w > 0").groupBy("a", "b").agg(F.sum("w").alias("w"))
     # Most pairs fall to the coarse histograms; the others meet the fine ones.
     rough = written(plausible(pairs, classes, percent, "coarse"), "plausible")
