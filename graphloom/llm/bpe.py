@@ -12,12 +12,14 @@ not grow with its input. There is no shuffle: each text is encoded where it is r
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,52 @@ ODD_BLANKS = "\x1c\x1d\x1e\x1f"
 WHITE_SPACE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 REAL_BLANKS = re.compile(f"[{''.join(map(chr, WHITE_SPACE))}]+")
 WORD_END = "</w>"
+#: The settings of vocabulary files that this module implements (fixed values of the format).
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": PIECES.pattern.removesuffix(r"|\n")}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": WORD_END, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
+def checked(spec: dict) -> dict:
+    """A vocabulary file's content, if its settings are those that are implemented here.
+
+    They are NFC, lower case, splitting at white space and by :data:`PIECES`, byte letters and
+    word ends; added tokens are taken from the raw text as they stand. Others raise ValueError.
+    """
+    wrong = [k for k, v in MODEL.items() if spec["model"].get(k) != v]
+    wrong += ["normalizer"] * (spec["normalizer"] != NORMALIZER)
+    wrong += ["pre_tokenizer"] * (spec["pre_tokenizer"] != {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]})
+    wrong += [k for k in ("post_processor", "decoder") if spec.get(k) is not None]
+    for t in spec["added_tokens"]:
+        if any(t[k] for k in ("single_word", "lstrip", "rstrip", "normalized")) or not t["special"] or chunks_of(t["content"]) != [t["content"]]:
+            wrong.append(t["content"])
+    if wrong:
+        raise ValueError(f"the vocabulary file has settings that are not supported: {wrong}")
+    return spec
+
+
+@functools.cache
+def unsettled() -> re.Pattern:
+    """Characters that Unicode 3.2 does not know.
+
+    Whether they are letters, compose or have a lower case depends on the version of Unicode that
+    a library was built with; for all others the versions in use agree.
+    """
+    new = [c for c in range(0x80, 0x110000) if unicodedata.ucd_3_2_0.category(chr(c)) == "Cn"]
+    edges = [0, *(np.flatnonzero(np.diff(new) > 1) + 1).tolist(), len(new)]
+    return re.compile("[" + "".join(f"{re.escape(chr(new[a]))}-{re.escape(chr(new[b - 1]))}" for a, b in pairwise(edges)) + "]")
+
+
+def is_latin(text: str) -> bool:
+    """Whether all characters lie below U+0100: such a text is in NFC and its lower case is plain."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def chunks_of(text: str) -> list[str]:
@@ -66,7 +114,7 @@ class Vocabulary:
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+            spec = checked(json.load(f))
         ids: dict[str, int] = spec["model"]["vocab"]
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.left = [ids[a] for a, _ in merges]
@@ -75,6 +123,7 @@ class Vocabulary:
         pairs = (np.array(self.left, np.int64) << 32) | np.array(self.right, np.int64)
         self.pairs, self.pair_rank = np.unique(pairs, return_index=True)
         letters = byte_letters()
+        self.byte = {c: b for b, c in enumerate(letters)}
         self.inner = np.array([ids[c] for c in letters], np.int32)
         self.final = np.array([ids[c + WORD_END] for c in letters], np.int32)
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -146,19 +195,28 @@ class Encoder:
 
     def __init__(self, path: str):
         self.v = Vocabulary(path)
-        self.ids: dict[str, str] = {}
-        self.shown: dict[str, str] = {}
+        self.path = path
+        self.library = None
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all chunks. Special tokens keep their places, behind a blank, which no chunk has."""
+        self.ids: dict[str, str] = {" " + x: str(i) for x, i in self.v.specials.items()}
+        self.shown: dict[str, str] = {" " + x: x for x in self.v.specials}
 
     def learn(self, chunks: set[str]) -> None:
         """Encode the chunks that are not remembered."""
         if len(self.ids) > REMEMBERED:
-            self.ids.clear()
-            self.shown.clear()
+            self.clear()
         new = [c for c in chunks if c not in self.ids]
         if not new:
             return
+        odd = [c for c in new if c[0] == " "]
+        plain = [c for c in new if c[0] != " "] if odd else new
+        new = plain + odd
         # Pieces end at a tab, chunks at a line feed; neither occurs in a chunk.
-        raw = np.frombuffer("\t".join(PIECES.findall("\n".join(new))).encode() + b"\t\n\t", np.uint8)
+        raw = ("\t".join(PIECES.findall("\n".join(plain))).encode() + b"\t\n\t") if plain else b""
+        raw = np.frombuffer(raw + b"".join(map(self.pieces_of, odd)), np.uint8)
         sym = self.v.inner[raw]
         tabs, feeds = np.flatnonzero(raw == 9), raw == 10
         sym[tabs - 1] = self.v.final[raw[tabs - 1]]
@@ -172,20 +230,28 @@ class Encoder:
             self.ids[c] = " ".join([self.v.number[i] for i in got])
             self.shown[c] = self.decode(got)
 
+    def pieces_of(self, chunk: str) -> bytes:
+        """The pieces of a chunk with unsettled characters, cut by the library's own tables."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk[1:]))
+        return b"".join(bytes(map(self.v.byte.__getitem__, x)) + b"\t" for x, _ in cut) + b"\n\t"
+
     def decode(self, ids: list[int]) -> str:
         """The tokens joined by blanks, as a tokenizer without a decoder gives them."""
         return " ".join([self.v.word[i] for i in ids])
 
     def parts(self, text: str) -> list[str]:
-        """The chunks of a text, normalised; special tokens stand alone."""
+        """The chunks of a text, normalised. Special tokens, and raw chunks with unsettled
+        characters, have a blank before them."""
         v = self.v
-        if v.split_specials is not None and "<|" in text:
+        if any(x in text for x in v.specials):
             out: list[str] = []
             for x in v.split_specials.split(text):
                 if x in v.specials:
-                    out.append(x)
-                    if x not in self.ids:
-                        self.ids[x], self.shown[x] = str(v.specials[x]), x
+                    out.append(" " + x)
                 elif x:
                     out += self._plain(x)
             return out
@@ -193,19 +259,18 @@ class Encoder:
 
     @staticmethod
     def _plain(text: str) -> list[str]:
+        if is_latin(text):
+            return chunks_of(text.lower())
         # Lower case goes character by character, so a final sigma is like any other.
-        return chunks_of(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        low = lambda x: unicodedata.normalize("NFC", x).replace("Σ", "σ").lower()
+        if (new := unsettled()).search(text):
+            return [" " + c if new.search(c) else low(c) for c in chunks_of(text)]
+        return chunks_of(low(text))
 
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """For each text the decimal ids joined by blanks, and the decoded text."""
         cut = [self.parts(t) for t in texts]
-        new: set[str] = set()
-        for c in cut:
-            new.update(c)
-        specials = new & self.v.specials.keys()
-        self.learn(new - specials)
-        for x in specials:
-            self.ids[x], self.shown[x] = str(self.v.specials[x]), x
+        self.learn(set().union(*cut))
         ids, shown = self.ids, self.shown
         for c in cut:
             yield " ".join([ids[x] for x in c]), " ".join([shown[x] for x in c])

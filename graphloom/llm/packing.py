@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import bisect
 import gc
+import json
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.bpe import WORD_END, chunks_of, slices
+from graphloom.llm.bpe import WORD_END, checked, chunks_of, is_latin, slices
 from graphloom.llm.common import own_table, row_rank, small_batches, written
 
 CAPACITY = 4096
@@ -35,18 +37,32 @@ MARKS = frozenset(ALL_MARKS)
 AT_ONCE = 1000
 
 
+class Closing(dict):
+    """Whether marks after a character are tokens of their own: if it stays a letter when normalised."""
+
+    def __missing__(self, c: str) -> bool:
+        last = unicodedata.normalize("NFC", c).lower()[-1]
+        # A few letters of old became marks; what both versions call a letter is one everywhere.
+        self[c] = found = last.isalpha() and unicodedata.ucd_3_2_0.category(last)[0] == "L"
+        return found
+
+
 class LibraryIds:
     """Ids of texts by the tokenizers library, as little-endian 32-bit bytes.
 
     White space separates tokens, so a chunk between white space has the same ids wherever it
     stands; chunks that were met before come from a bounded table. A new chunk is looked up
-    without its closing marks first: after a letter they are tokens of their own.
+    without its closing marks first: after a letter they are tokens of their own. Texts are
+    lower-cased here where that is sure to be what the library does, and never where a special
+    token would arise from it.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            self.specials = [t["content"].lower() for t in checked(json.load(f))["added_tokens"]]
         self.t = Tokenizer.from_file(path)
         self.t.no_truncation()
         self.t.no_padding()
@@ -55,6 +71,7 @@ class LibraryIds:
         self.ends[[i for w, i in words.items() if w.endswith(WORD_END)]] = True
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.closing = Closing()
 
     def _recall(self, chunks: set[str]) -> set[str]:
         """Those of the chunks that neither generation knows; the old one's are taken over."""
@@ -68,26 +85,22 @@ class LibraryIds:
     def learn(self, chunks: set[str]) -> None:
         if len(self.known) > REMEMBERED:
             self.old, self.known = self.known, {}
-        known, marks = self.known, MARKS
-        need, marked, cased = set(), [], []
+        known, marks, closing = self.known, MARKS, self.closing
+        need, marked = set(), []
         for c in self._recall(chunks):
-            low = c.lower() if c.isascii() else c
-            if low[-1] in marks:
-                core = low.rstrip(ALL_MARKS)
-                if core and core[-1].isalpha():
+            if c[-1] in marks:
+                core = c.rstrip(ALL_MARKS)
+                if core and closing[core[-1]]:
+                    tail = c[len(core) :]
                     need.add(core)
-                    need.add(low[len(core) :])
-                    marked.append((c, core, low[len(core) :]))
+                    need.add(tail)
+                    marked.append((c, core, tail))
                     continue
-            need.add(low)
-            if low is not c:
-                cased.append((c, low))
+            need.add(c)
         need = self._recall(need)
         words = {c for c in need if c.isalpha()}
         self._ask([*words], True)
         self._ask([*need.difference(words)], False)
-        for c, low in cased:
-            known[c] = known[low]
         for c, core, tail in marked:
             known[c] = known[core] + known[tail]
 
@@ -106,8 +119,15 @@ class LibraryIds:
                 self.known[c] = raw[start:end]
                 start = end
 
+    def _chunks(self, text: str) -> list[str]:
+        if is_latin(text):
+            low = text.lower()
+            if not any(x in low for x in self.specials):
+                return chunks_of(low)
+        return chunks_of(text)
+
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [chunks_of(t) for t in texts]
+        cut = [self._chunks(t) for t in texts]
         self.learn(set().union(*cut))
         known = self.known
         for c in cut:

@@ -1,5 +1,5 @@
 import hashlib
-import unicodedata
+import json
 
 import public_tokenizers
 import pyarrow.parquet as pq
@@ -35,7 +35,7 @@ def test_texts(both):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.one_of(st.text(alphabet=st.characters(exclude_categories=["Cn", "Cs"]), max_size=40), st.text(alphabet="abthe 's\n12", max_size=60)), max_size=5))
+@given(st.lists(st.one_of(st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=40), st.text(alphabet="abthe 's\n12", max_size=60)), max_size=5))
 def test_any_text(both, texts):
     same(both, texts)
 
@@ -48,9 +48,27 @@ def test_every_character(both):
         part = [f"a{c}b" for c in every[a : a + 20000]]
         want = t.encode_batch(part, add_special_tokens=False)
         odd += [p[1:-1] for p, (ids, _), w in zip(part, e.encode_batch(part), want, strict=True) if ids != " ".join(map(str, w.ids))]
-    # Only characters that are newer than Python's own Unicode table may differ.
-    known = [c for c in odd if unicodedata.category(c) != "Cn"]
-    assert not known, [hex(ord(c)) for c in known][:20]
+    assert not odd, [hex(ord(c)) for c in odd][:20]
+
+
+#: Specials as they stand and in other cases, next to letters, marks, blanks and combining marks.
+NEAR_SPECIALS = st.lists(st.sampled_from(["<|startoftext|>", "<|endoftext|>", "<|STARTOFTEXT|>", "<|EndOfText|>", "<|endoftext", "|>", "<|", "a", "É", "İ", "_İ?", "\u0301", "?", " ", "\n", "1", "字", "\U00010d50", "\U00011935\U00011930", "😀!"]), max_size=9).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(NEAR_SPECIALS, max_size=4))
+def test_specials(both, texts):
+    same(both, texts)
+
+
+def test_other_settings_are_refused(tmp_path):
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"]["normalizers"][0]["type"] = "NFKC"
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="normalizer"):
+        Encoder(str(other))
 
 
 def test_real_documents(both):

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from graphloom.llm.packing import LibraryIds, pack, plan, sequences
+from tests.llm.test_bpe import NEAR_SPECIALS
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -61,6 +62,24 @@ def test_library_ids(texts):
         assert np.frombuffer(raw, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(NEAR_SPECIALS, max_size=4))
+def test_specials(texts):
+    mine, t = LibraryIds(PATH), Tokenizer.from_file(PATH)
+    for text, raw in zip(texts, mine.encode_batch(texts), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_marks_after_every_character():
+    mine, t = LibraryIds(PATH), Tokenizer.from_file(PATH)
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for a in range(0, len(every), 20000):
+        part = [f"a{c}?! {c}." for c in every[a : a + 20000]]
+        want = t.encode_batch(part, add_special_tokens=False)
+        odd = [p for p, raw, w in zip(part, mine.encode_batch(part), want, strict=True) if np.frombuffer(raw, "<u4").tolist() != w.ids]
+        assert not odd, odd[:20]
+
+
 def test_pack(spark):
     rng = random.Random(3)
     t = Tokenizer.from_file(PATH)
