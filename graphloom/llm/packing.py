@@ -33,6 +33,8 @@ REMEMBERED = 250_000
 #: Marks that are split from the end of a word before it is looked up.
 ALL_MARKS = ".,;:!?*$%&#|\"()"
 MARKS = frozenset(ALL_MARKS)
+#: Characters of text whose chunks are looked up together.
+TOGETHER = 16 << 20
 #: Chunks that are given to the library in one call.
 AT_ONCE = 1000
 
@@ -108,16 +110,17 @@ class LibraryIds:
         """Have the library encode chunks; ``single`` ones are words that end once."""
         for a in range(0, len(chunks), AT_ONCE):
             part = chunks[a : a + AT_ONCE]
-            got = self.t.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(got.ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+            text = " ".join(part)
+            if single:
+                ids = np.array(self.t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+                cuts = np.flatnonzero(self.ends[ids]) + 1
             if not single or len(cuts) != len(part):
+                got = self.t.encode(text, add_special_tokens=False)
+                ids = np.array(got.ids, "<u4")
                 begins = np.fromiter((o[0] for o in got.offsets), np.int64, len(ids))
                 cuts = np.searchsorted(begins, np.cumsum([len(c) + 1 for c in part]))
-            raw, start = ids.tobytes(), 0
-            for c, end in zip(part, (4 * cuts).tolist(), strict=True):
-                self.known[c] = raw[start:end]
-                start = end
+            raw, ends = ids.tobytes(), (4 * cuts).tolist()
+            self.known.update(zip(part, [raw[x:y] for x, y in zip([0, *ends], ends, strict=False)], strict=True))
 
     def _chunks(self, text: str) -> list[str]:
         if is_latin(text):
@@ -152,7 +155,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id: str = "doc_
         e, crc = library_ids(path), zlib.crc32
         gc.disable()  # no cycles arise here, and the large tables are slow to search for some
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), TOGETHER):
                 part = batch.slice(a, b - a)
                 row, piece, length, check, ids = [], [], [], [], []
                 for i, raw in enumerate(e.encode_batch([t or "" for t in part.column(1).to_pylist()])):
