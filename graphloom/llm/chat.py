@@ -9,6 +9,7 @@ node's place in its conversation is a rank that no single task has to hold.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,26 +27,54 @@ MOST_LEVELS = 32
 #: Depth of what depends on a cycle: after all else of its turn.
 LAST = (1 << 31) - 1
 
+SURROGATES = re.compile("[\ud800-\udfff]")
 _TYPES = {"string": str, "boolean": bool, "array": list, "object": dict, "null": type(None)}
 
 
+def plain(text: str) -> str:
+    """``text`` with half surrogates, which no UTF-8 can hold, written as JSON escapes."""
+    return SURROGATES.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value: object) -> str:
     """JSON with sorted keys, no blanks and no escapes but the required ones."""
-    return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+    return plain(json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":")))
 
 
-def problems(value: object, schema: dict, at: str = "$") -> list[str]:
-    """What in ``value`` breaks a schema of types, enums, properties, required names, items and
-    bounds; names beyond the schema break it only if additionalProperties is false."""
-    out: list[str] = []
-    kind = schema.get("type")
+def fits(value: object, kind: str) -> bool:
+    """Whether a JSON value has this type; types of no known name fit all values."""
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    fits = {"number": number, "integer": number and float(value).is_integer()}.get(kind, isinstance(value, _TYPES.get(kind, object))) if kind else True
-    if not fits:
-        return [f"{at}: not {kind}"]
-    if "enum" in schema and value not in schema["enum"]:
+    if kind == "number":
+        return number
+    if kind == "integer":
+        return number and (isinstance(value, int) or value.is_integer())
+    return isinstance(value, _TYPES.get(kind, object))
+
+
+def equal(a: object, b: object) -> bool:
+    """Equality of JSON values: booleans are not numbers."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(equal, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(equal(a[k], b[k]) for k in a)
+    return a == b
+
+
+def problems(value: object, schema: dict | bool, at: str = "$") -> list[str]:
+    """What in ``value`` breaks a schema of types (one or a list), enums, properties, required
+    names, items and bounds, or a schema that is only true or false; names beyond the schema break it only if additionalProperties is false."""
+    out: list[str] = []
+    if not isinstance(schema, dict):
+        return [] if schema else [f"{at}: not allowed"]
+    kinds = schema.get("type", [])
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    if kinds and not any(fits(value, k) for k in kinds):
+        return [f"{at}: not {' or '.join(kinds)}"]
+    if "enum" in schema and not any(equal(value, x) for x in schema["enum"]):
         out.append(f"{at}: not in enum")
-    if number and ("minimum" in schema and value < schema["minimum"] or "maximum" in schema and value > schema["maximum"]):
+    if fits(value, "number") and ("minimum" in schema and value < schema["minimum"] or "maximum" in schema and value > schema["maximum"]):
         out.append(f"{at}: out of bounds")
     if isinstance(value, dict):
         known = schema.get("properties", {})
@@ -65,8 +94,21 @@ def parse_message(role: str | None, text: str | None, tools: dict[str, dict] | N
     """The nodes of one message: (kind, call_id, name, depends_on, error, json).
 
     An assistant's JSON object with ``tool_calls`` gives a call each; a tool's object with
-    ``tool_call_id`` a result; everything else is a plain message.
+    ``tool_call_id`` a result; everything else is a plain message, and so is JSON that is nested
+    too deeply to be read or written.
     """
+    try:
+        found = parse_body(role, text, tools)
+    except RecursionError:
+        found = []
+    if not found:
+        return [("message", None, None, [], "", canonical({"role": role, "content": text}))]
+    clean = lambda x: None if x is None else plain(x)
+    return [(kind, clean(ident), clean(name), [plain(x) for x in needs], plain(bad), body) for kind, ident, name, needs, bad, body in found]
+
+
+def parse_body(role: str | None, text: str | None, tools: dict[str, dict] | None) -> list[tuple]:
+    """The calls or the result of a message; none if it is neither."""
     body = None
     if role in ("assistant", "tool") and text and text.lstrip()[:1] == "{":
         try:
@@ -91,7 +133,7 @@ def parse_message(role: str | None, text: str | None, tools: dict[str, dict] | N
             needs = [x for x in c.get("depends_on", []) if isinstance(x, str)] if isinstance(c.get("depends_on", []), list) else []
             out.append(("call", ident if isinstance(ident, str) else None, name if isinstance(name, str) else None, needs, "; ".join(bad), canonical({"role": "assistant", "tool_call": {"id": ident, "name": name, "arguments": args}})))
         return out
-    return [("message", None, None, [], "", canonical({"role": role, "content": text}))]
+    return []
 
 
 def nodes(messages: DataFrame, tools: dict[str, dict] | None, conv: str, turn: str, role: str, text: str) -> DataFrame:

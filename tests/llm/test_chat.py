@@ -77,3 +77,24 @@ def test_long_chains_are_placed_and_only_cycles_are_marked(spark):
     assert all(r.valid for c in (1, 2) for r in by[c])
     assert {(r.kind, r.call_id) for r in by[3] if "cyclic" in r.error} == {("call", "x"), ("call", "y"), ("call", "z"), ("result", "z")}
     assert all(r.valid == ("cyclic" not in r.error) for r in by[3])
+
+
+def test_odd_arguments(spark):
+    deep = "[" * 3000 + "]" * 3000
+    calls = [
+        '{"tool_calls":[{"id":"a\\ud83d","name":"t","arguments":{"x":"\\ud83d"}}]}',
+        '{"tool_calls":[{"id":"b","name":"t","arguments":{"n":1' + "0" * 400 + "}}]}",
+        '{"tool_calls":[{"id":"c","name":"t","arguments":{"x":null}}]}',
+        '{"tool_calls":[{"id":"d","name":"t","arguments":{"e":true}}]}',
+        '{"tool_calls":[{"id":"e","name":"t","arguments":{"e":1.0}}]}',
+        '{"tool_calls":[{"id":"f","name":"t","arguments":{"deep":' + deep + "}}]}",
+        '{"tool_calls":[{"id":"g","name":"t","arguments":{"never":1}}]}',
+    ]
+    rows = [(1, 2 * i, "assistant", c) for i, c in enumerate(calls)] + [(1, 1, "tool", '{"tool_call_id":"a\\ud83d","content":"x\\udc00y"}'), (1, 20, "assistant", "w " * 200_000)]
+    schema = {"t": {"type": "object", "properties": {"x": {"type": ["string", "null"]}, "n": {"type": "integer"}, "e": {"enum": [1]}, "never": False}}}
+    got = {(r.kind, r.turn): r for r in chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), schema).collect()}
+    assert len(got) == len(rows)
+    by_turn = {t: r for (kind, t), r in got.items() if kind == "call"}
+    assert [by_turn[t].valid for t in (0, 2, 4, 6, 8, 12)] == [True, True, True, False, True, False]
+    assert by_turn[0].json == '{"role":"assistant","tool_call":{"arguments":{"x":"\\ud83d"},"id":"a\\ud83d","name":"t"}}'
+    assert got["result", 1].linked and ("call", 10) in got or ("message", 10) in got
