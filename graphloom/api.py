@@ -118,7 +118,7 @@ class Engine:
         """Extracted refs with typed qualifiers, event edges and package targets: views, never stored."""
         rows = link.upgrade_qualifiers(self._read("refs"), self.symbols).drop("pre_qual")
         rows = link.with_dispatch(rows)
-        return link.link_packages(rows, self.aliases)
+        return link.link_packages(rows, self.aliases, self.files)
 
     def _names(self, *names: str) -> DataFrame:
         lookup.require_index(self.files)
@@ -137,13 +137,17 @@ class Engine:
         got = lookup.callers(self.refs, q, window, limit, self.roots)
         if not macro:
             return got
-        return sidecar.union(got, lookup.callers(self.side(), q, window, limit, self.roots).withColumn("mapped", F.col("path")), window == "exact", dedup)
+        return sidecar.union(got, lookup.callers(self._shown_side(), q, window, limit, self.roots), window == "exact", dedup)
 
     def callers_payload(self, name: str, window: str = "default", limit: int = 50, mode: str = "separate"):
         lookup.require_index(self.files)
         return lookup.callers_payload(self.refs, name, window, limit, mode, self.roots)
 
-    def impact(self, *names: str, depth: int = 2, limit: int = 100, window: str = "default", sound: bool = False) -> DataFrame:
+    def impact(self, *names: str, depth: int = 2, limit: int = 100, window: str = "default", sound: bool = False, macro: bool = False) -> DataFrame:
+        """The impact walk; with ``macro`` it also follows edges that only expanded sources have."""
+        if macro and not sound:
+            both = self.refs.unionByName(sidecar.without_known(self.refs, self._shown_side()).select(*self.refs.columns))
+            return traverse.impact(both, self.symbols, self.files, self._names(*names), depth, limit, window, self.roots)
         return traverse.impact(self.refs, self.symbols, self.files, self._names(*names), depth, limit, window, self.roots, sound)
 
     def related(self, *names: str, limit: int = 10) -> DataFrame:
@@ -221,11 +225,18 @@ class Engine:
     def side(self) -> DataFrame:
         path = self.index.meta().get("sidecar")
         if not path:
-            return self._read("refs").limit(0)
+            return self._read("refs").limit(0).withColumn("mapped", F.lit(None).cast("string"))
         side = ingest.Index(self.spark, path)
         pairs = self.spark.createDataFrame([tuple(p) for p in self.index.meta().get("path_map", [])], "expanded string, source string, prefix boolean")
-        mapped = sidecar.mapped_path(side.read("refs"), pairs, self.files)
-        return mapped.withColumn("path", F.coalesce("mapped", "path")).drop("mapped")
+        return sidecar.mapped_path(side.read("refs"), pairs, self.files)
+
+    def _shown_side(self) -> DataFrame:
+        """The side dataset under the paths of the sources, if the gate lets a query use it."""
+        meta = self.index.meta()
+        stale = meta.get("sidecar") is not None and meta.get("source_fingerprint") not in (None, sidecar.fingerprint(self.files).first()[0])
+        ok, _ = sidecar.usable(bool(meta.get("sidecar")), stale, False, True, False)
+        rows = self.side() if ok else self.side().limit(0)
+        return rows.withColumn("path", F.coalesce("mapped", "path"))
 
     def build_side(self, tree: str, path: str, root: str, pairs: list[tuple[str, str, bool]] = ()) -> dict:
         """Index an expanded tree beside the sources. It may not be, or lie within, their root."""
@@ -241,5 +252,5 @@ class Engine:
         if not meta.get("sidecar"):
             return {"exists": False}
         stale = meta.get("source_fingerprint") not in (None, sidecar.fingerprint(self.files).first()[0])
-        stats = sidecar.dedup_stats(self._read("refs"), self.side().withColumn("mapped", F.col("path"))).first().asDict()
+        stats = sidecar.dedup_stats(self._read("refs"), self.side()).first().asDict()
         return {"exists": True, "stale": stale, "root": meta.get("expanded_root"), "dedup": stats}

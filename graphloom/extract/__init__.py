@@ -23,6 +23,8 @@ def one_file(language: str, content: bytes | None) -> list[tuple[str, dict]]:
     """The rows of one file. What can not be read gives one ``parse_error``, never an exception."""
     if content is None:
         return [("violations", {"kind": "parse_error", "line": 1, "snippet": "not readable"})]
+    if language not in EXTRACTORS:
+        return []
     try:
         text = content.decode("utf-8")
         found = EXTRACTORS[language](text, language)
@@ -30,8 +32,8 @@ def one_file(language: str, content: bytes | None) -> list[tuple[str, dict]]:
         return [("violations", {"kind": "parse_error", "line": 1, "snippet": "not UTF-8"})]
     except ParseError as err:
         return [("violations", {"kind": "parse_error", "line": err.line, "snippet": str(err)[:200]})]
-    except KeyError:
-        return []
+    except Exception as err:  # noqa: BLE001  a reader's fault is the file's: it counts as unread
+        return [("violations", {"kind": "parse_error", "line": 1, "snippet": f"{type(err).__name__}: {err}"[:200]})]
     return [(name, row) for name in _FIELDS for row in getattr(found, name)]
 
 

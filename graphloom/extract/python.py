@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import ast
+import re
 
 from graphloom.extract.base import Found
 from graphloom.extract.lex import ParseError
 
+_NAME = re.compile(r"(?:(?:async|def|class)(?:\s|\\\n)+)+")
 _EXEC = ("eval", "exec", "compile")
 _DYNAMIC_METHODS = ("__getattribute__", "__getattr__", "__setattr__")
 
@@ -45,7 +47,9 @@ class Visitor(ast.NodeVisitor):
     def _define(self, node, kind: str) -> None:
         parent = self.scope[-1][0] if self.scope and self.scope[-1][1] else None
         returns = _leaf(node.returns) if getattr(node, "returns", None) is not None else None
-        self.f.symbol(node.name, kind, self.f.text.index(node.name, self.at(node)), node.end_lineno, parent, returns=returns)
+        # The node begins at its keyword; what stands between that and the name are blanks.
+        place = _NAME.match(self.f.text, self.at(node)).end()
+        self.f.symbol(node.name, kind, place, node.end_lineno, parent, returns=returns)
 
     def visit_FunctionDef(self, node) -> None:
         self._define(node, "function")
@@ -71,11 +75,9 @@ class Visitor(ast.NodeVisitor):
 
     def visit_ClassDef(self, node) -> None:
         self._define(node, "class")
-        own = any(isinstance(x, ast.FunctionDef) and x.name == "__init_subclass__" for x in node.body)
-        if self.hooks and node.bases and not own:
-            for b in node.bases:
-                if _leaf(b):
-                    self.f.ref(node.name, "call", self.at(node), _leaf(b), rule="py.framework.init_subclass")
+        own = any(isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef)) and x.name == "__init_subclass__" for x in ast.walk(node))
+        if self.hooks and (node.bases or node.keywords) and not own:
+            self.f.ref(node.name, "call", self.at(node), None, rule="py.framework.init_subclass")
         for x in [*node.decorator_list, *node.bases, *node.keywords]:
             self.visit(x)
         self.scope.append((node.name, True))

@@ -9,6 +9,10 @@ _KEYWORDS = set("as async await break const continue crate dyn else enum extern
 _PLAIN = {"Box", "Self", "Vec", "Arc", "Rc", "String"}
 
 
+#: Path heads that stay in the crate, or name the inventory itself.
+_OWN = ("crate", "self", "super", "inventory")
+
+
 class Reader:
     def __init__(self, text: str):
         self.f, self.ts = Found(text), tokens(text, "rust")
@@ -20,6 +24,7 @@ class Reader:
         self.trait_methods: dict[str, list[tuple[str, str]]] = {}
         self.method_calls: list[tuple[str, int, str | None]] = []
         self.inventory = {"inventory"}
+        self.submit_names: set[str] = set()
 
     def text(self, i: int) -> str:
         return self.ts[i].text if 0 <= i < len(self.ts) else ""
@@ -132,9 +137,8 @@ class Reader:
                 if kind:
                     self.types.put(x(k), kind)
         if x(i + 1) == "!":
-            if w == "submit" and x(i - 1) == "::" and x(i - 2) in self.inventory and x(i - 3) != "::" and x(i + 2) in ("(", "{"):
+            if x(i + 2) in ("(", "[", "{") and self.submits(i):
                 self.submit(i + 2)
-                return self.pair[i + 2] + 1
             return i + 2
         end = self.generics(i + 2) if x(i + 1) == "::" and x(i + 2) == "<" else i + 1
         if x(end) == "(" and w not in _KEYWORDS:
@@ -202,11 +206,14 @@ class Reader:
 
     def use(self, i: int) -> int:
         """All leaves of the tree, one row a name."""
-        k, stack, seen, path = i + 1, [], set(), []
+        k, stack, seen, path, renames = i + 1, [], set(), [], set()
 
         def leaf(at: int) -> None:
             if not path:
                 return
+            if path[-2:] == ["inventory", "submit"] and all(p in _OWN for p in path[:-2]):
+                if at not in renames:
+                    self.submit_names.add("submit")
             name = path[-1] if path[-1] != "self" else path[-2] if len(path) > 1 else None
             if name and name != "*" and name not in seen:
                 seen.add(name)
@@ -220,11 +227,14 @@ class Reader:
                 if self.text(k - 1) not in ("{", ",", "}"):
                     leaf(k - 1)
                 path = list(stack[-1]) if stack else []
-                if t == "}":
+                if t == "}" and stack:
                     stack.pop()
             elif t == "as":
                 if path[-1:] == ["inventory"] and len(path) == 1:
                     self.inventory.add(self.text(k + 1))
+                if path[-2:] == ["inventory", "submit"] and all(p in _OWN for p in path[:-2]):
+                    self.submit_names.add(self.text(k + 1))
+                    renames.add(k + 1)
                 k += 1
             elif self.kind(k) == "id" or t == "*":
                 path.append(t)
@@ -254,6 +264,17 @@ class Reader:
                     self.f.ref(self.text(k), "call", self.ts[i].at, None, rule="rs.di.linkme_distributed_slice")
         return end + 1
 
+    def submits(self, i: int) -> bool:
+        """Whether the macro named at ``i`` is the inventory's ``submit``: by its path, which may
+        begin in this crate but in no other, or by a name that the file imports for it."""
+        path, k = [self.text(i)], i
+        while self.text(k - 1) == "::" and self.kind(k - 2) == "id":
+            k -= 2
+            path.insert(0, self.text(k))
+        if len(path) == 1:
+            return path[0] in self.submit_names
+        return path[-1] == "submit" and path[-2] in self.inventory and all(p in _OWN for p in path[:-2])
+
     def submit(self, open_: int) -> None:
         k, end, first = open_ + 1, self.pair[open_], True
         while k < end:

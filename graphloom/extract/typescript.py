@@ -254,7 +254,8 @@ class Reader:
                     self.nest(_NEST[self.text(k)], k + 2)
                     k = self.pair[k + 2]
                 k += 1
-        return end + 1
+        # The decorator itself is no call; what stands in its brackets is read like all else.
+        return open_ + 1
 
     def nest(self, rule: str, open_: int) -> None:
         k, end = open_ + 1, self.pair[open_]

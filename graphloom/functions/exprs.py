@@ -89,6 +89,12 @@ def package_of(specifier: Column | str) -> Column:
     return F.when(c.startswith("@"), F.regexp_extract(c, "^(@[^/]+/[^/]+)", 1)).when(c.rlike(r"^[./]"), F.lit("")).otherwise(F.substring_index(c, "/", 1))
 
 
+def specifier_prefixes(specifier: Column | str) -> Column:
+    """A specifier, lower-cased, and all that precedes one of its slashes."""
+    parts = F.split(F.lower(col(specifier)), "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+
+
 def is_external_module(module: Column | str = "module") -> Column:
     """A non-empty specifier that is neither relative nor absolute."""
     m = F.coalesce(col(module), F.lit(""))

@@ -19,8 +19,10 @@ TYPE_KINDS = ("class", "struct", "interface", "enum", "trait")
 
 
 def with_id(rows: DataFrame, out: str = "ref_id") -> DataFrame:
-    """A number that depends on the row's values alone."""
-    return rows.withColumn(out, F.xxhash64("root_id", "path", "name", "line", "kind", "enclosing", "qualifier", "confidence", "rule_id", "module"))
+    """A number that depends on the row's values alone. The hash passes over nulls, so where they
+    stand is hashed too."""
+    values = ("root_id", "path", "name", "line", "kind", "enclosing", "qualifier", "confidence", "rule_id", "module")
+    return rows.withColumn(out, F.xxhash64(*values, *[F.isnull(c) for c in values]))
 
 
 def symbol_id() -> list:
@@ -110,27 +112,48 @@ def with_dispatch(refs: DataFrame) -> DataFrame:
     return plain.unionByName(dispatch(plain))
 
 
-def link_packages(refs: DataFrame, aliases: DataFrame) -> DataFrame:
+#: Endings that a path of an alias may lack, in order of preference (fixed values).
+ALIAS_TAILS = ("", ".ts", ".tsx", ".d.ts", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.d.ts", "/index.js", "/index.jsx")
+
+
+def wildcard_hits(modules: DataFrame, aliases: DataFrame) -> DataFrame:
+    """module, root_id, target: the longest wildcard key that begins each module, and what its
+    entry becomes with the rest of the module for its star.
+
+    Prefixes are cut at the few lengths that the keys have; the driver sees these lengths only.
+    """
+    wild = aliases.where(F.col("package").endswith("*")).select(F.regexp_replace("package", r"\*+$", "").alias("_prefix"), "root_id", F.coalesce("barrel", "entry").alias("_to")).where("_prefix <> ''")
+    lengths = [r[0] for r in wild.select(F.length("_prefix").alias("n")).distinct().orderBy("n").collect()]
+    if not lengths:
+        return modules.select("module", F.lit(None).cast("string").alias("root_id"), F.lit(None).cast("string").alias("target")).limit(0)
+    relative = F.col("module").startswith(".") | F.col("module").startswith("/")
+    cut = modules.where(~relative).withColumn("_prefix", F.explode(F.array(*[F.substring("module", 1, n) for n in lengths])))
+    hit = cut.join(wild, "_prefix").where(F.length("module") > F.length("_prefix"))
+    best = hit.groupBy("module").agg(F.max_by(F.struct("_prefix", "root_id", "_to"), F.struct(F.length("_prefix"), "root_id", "_to")).alias("w"))
+    rest = F.expr("substring(module, length(w._prefix) + 1)")
+    return best.select("module", F.col("w.root_id").alias("root_id"), F.replace(F.col("w._to"), F.lit("*"), rest).alias("target"))
+
+
+def link_packages(refs: DataFrame, aliases: DataFrame, files: DataFrame) -> DataFrame:
     """Resolve imports of workspace packages.
 
     ``aliases`` (package, root_id, entry, barrel, source). A key matches its own specifier and
-    those below it; the greatest key wins, so a subpath overrides its package. Keys that end
-    in ``*`` are tried last: the longest prefix gives a concrete file or none. An import under
-    several keys meets each of its own prefixes once, so the join is an equi-join.
+    those below it; the greatest key wins, so a subpath overrides its package. Where no key does,
+    the longest wildcard (ending in ``*``) gives a file that its root has, or nothing. An import
+    under several keys meets each of its own prefixes once, so the join is an equi-join.
     """
     exact = aliases.where(~F.col("package").endswith("*"))
     target = F.coalesce("barrel", "entry", F.concat(F.lit("@alias:"), "package", F.lit("→"), "root_id"))
     exact = exact.groupBy(F.lower("package").alias("_key")).agg(F.max_by(F.struct(target.alias("t")), "package").alias("hit"), F.max("package").alias("package"))
     modules = refs.where("kind = 'import' AND module IS NOT NULL").select("module").distinct()
-    parts = F.split(F.lower("module"), "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
-    found = modules.withColumn("_key", F.explode(prefixes)).join(exact, "_key").groupBy("module").agg(F.max_by("hit", "package").alias("hit")).select("module", F.col("hit.t").alias("_exact"))
-    wild = aliases.where(F.col("package").endswith("*")).select(F.regexp_replace("package", r"\*+$", "").alias("_prefix"), F.col("entry").alias("_wild_entry"), F.col("barrel").alias("_wild"))
-    # A wildcard's fixed part ends anywhere; every prefix of a module is a key.
-    pieces = modules.withColumn("_prefix", F.explode(F.transform(F.sequence(F.lit(1), F.length("module")), lambda k: F.substring("module", F.lit(1), k))))
-    starred = pieces.join(wild.where("_prefix <> ''"), "_prefix").where("module <> _prefix").groupBy("module").agg(F.max_by(F.struct(F.regexp_replace(F.coalesce("_wild", "_wild_entry"), r"\*", F.substring(F.col("module"), F.length("_prefix") + 1, F.length("module"))).alias("t")), F.length("_prefix")).alias("_w"))
+    found = modules.withColumn("_key", F.explode(e.specifier_prefixes("module"))).join(exact, "_key").groupBy("module").agg(F.max_by("hit", "package").alias("hit")).select("module", F.col("hit.t").alias("_exact"))
+    wild = wildcard_hits(modules, aliases)
+    base = e.repo_path("target")
+    rows = wild.where("target IS NOT NULL").select("module", "root_id", F.posexplode(F.array(*[F.concat(base, F.lit(t)) for t in ALIAS_TAILS])).alias("pos", "file"))
+    probe = rows.join(files.select("root_id", F.col("path").alias("file")), ["root_id", "file"]).groupBy("module").agg(F.min_by("file", "pos").alias("_file"))
+    starred = wild.select("module", F.lit(True).alias("_w")).join(probe, "module", "left")
     rows = refs.join(found, "module", "left").join(starred, "module", "left")
-    package = F.when(F.col("_w").isNotNull(), F.col("_w.t")).when(F.col("_exact").isNotNull(), F.col("_exact")).otherwise(F.col("resolved"))
+    package = F.when(F.col("_exact").isNotNull(), F.col("_exact")).when(F.col("_w"), F.col("_file")).otherwise(F.col("resolved"))
     rows = rows.withColumn("resolved", F.when(F.col("kind") == "import", package).otherwise(F.col("resolved")))
     return rows.select(*refs.columns)
 
@@ -178,16 +201,17 @@ def resolve_imports(imports: DataFrame, files: DataFrame, candidates) -> DataFra
 
 
 def go_resolve(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """Go imports: the shortest file path whose directory is the import path or ends with it."""
+    """Go imports: the shortest file path whose directory is the import path or ends with it.
+
+    The whole import path has to be there: a like last part alone is another package. Files are
+    reduced to one per root and ending before they meet the imports.
+    """
     dirs = files.where(F.lower("path").endswith(".go")).select("root_id", F.col("path").alias("file"), F.split(e.directory("path"), "/").alias("p"))
     tails = dirs.select("root_id", "file", F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda k: F.array_join(F.slice("p", k, F.size("p")), "/"))).alias("module"))
-    mine = imports.where(F.substring_index("module", "/", 1).contains("."))
-    # An import path may itself be longer than the directory: its tails count as well.
-    m = F.split("module", "/")
-    asked = mine.select("root_id", "path", "module").distinct().withColumn("_t", F.explode(F.transform(F.sequence(F.lit(1), F.size(m)), lambda k: F.array_join(F.slice(m, k, F.size(m)), "/"))))
-    hit = asked.join(tails.withColumnRenamed("module", "_t"), ["root_id", "_t"]).where("_t = module OR module LIKE concat('%/', _t)")
-    hit = hit.groupBy("root_id", "path", "module").agg(F.min(F.struct(-F.length("_t"), F.length("file"), F.col("file"))).alias("b")).select("root_id", "path", "module", F.col("b.file").alias("_file"))
-    return imports.join(hit, ["root_id", "path", "module"], "left").withColumn("resolved", F.coalesce("_file", "resolved")).drop("_file").select(*imports.columns)
+    best = tails.groupBy("root_id", "module").agg(F.min(F.struct(F.length("file"), "file")).alias("b")).select("root_id", "module", F.col("b.file").alias("_file"))
+    mine = F.substring_index("module", "/", 1).contains(".") & ~F.col("module").startswith(".")
+    got = imports.join(best, ["root_id", "module"], "left")
+    return got.withColumn("resolved", F.when(mine, F.coalesce("_file", "resolved")).otherwise(F.col("resolved"))).select(*imports.columns)
 
 
 def unique_definition(refs: DataFrame, symbols: DataFrame) -> DataFrame:

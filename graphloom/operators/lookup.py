@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from graphloom import schema as s
 from graphloom.functions import exprs as e
+from graphloom.operators.link import wildcard_hits
 
 #: The canonical order, with the ties that a place leaves open.
 PLACE = ("root_id", "path", "line", "name", "kind", "confidence", "rule_id", "enclosing")
@@ -68,7 +69,8 @@ def find(symbols: DataFrame, name: str, limit: int = 20, roots: list[str] | None
 
 def find_ranked(symbols: DataFrame, text: str, limit: int = 20) -> DataFrame:
     """Exact, qualified and containing matches in one list, in this order (tier 0, 1, 2)."""
-    tier = F.when(F.col("name") == text, 0).when(F.col("qualified_name") == text, 1).when(F.lower("name").contains(text.lower()), 2)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    tier = F.when(F.col("name") == text, 0).when(F.col("qualified_name") == text, 1).when(F.translate("name", upper, lower).contains(text.translate(str.maketrans(upper, lower))), 2)
     return symbols.withColumn("tier", tier).where("tier IS NOT NULL").orderBy("tier", "root_id", "path", "start_line", "name").limit(limit)
 
 
@@ -151,10 +153,12 @@ def importers_of_package(refs: DataFrame, packages: DataFrame, aliases: DataFram
     (path, line, name); ``external_dependency`` marks rows that nothing in the workspace backs.
     """
     imports = refs.where("kind = 'import'")
-    prefix = e.package_of(F.lower("module"))
-    below = imports.withColumn("_key", F.explode(F.array_distinct(F.array(F.lower("module"), prefix, F.regexp_extract(F.lower("module"), "^(.*)/[^/]*$", 1)))))
+    below = imports.withColumn("_key", F.explode(e.specifier_prefixes("module")))
     direct = packages.join(below, F.lower("query") == F.col("_key")).where((F.col("module") == F.col("query")) | F.lower("module").startswith(F.concat(F.lower("query"), F.lit("/")))).drop("_key").withColumn("tier", F.lit(0))
-    targets = packages.join(aliases, F.col("query") == F.col("package")).select("query", F.explode(F.array_compact(F.array("barrel", "entry", F.concat(F.lit("@alias:"), "package", F.lit("→"), F.col("root_id"))))).alias("resolved")).distinct()
+    # A query is an alias itself, or lies in a package that is one.
+    asked = packages.select("query", F.posexplode(F.array("query", e.package_of("query"))).alias("pos", "package"))
+    hit = asked.join(aliases, "package").groupBy("query").agg(F.min_by(F.struct("package", "root_id", "entry", "barrel"), "pos").alias("a")).select("query", "a.*")
+    targets = hit.select("query", F.explode(F.array_compact(F.array("barrel", "entry", F.concat(F.lit("@alias:"), "package", F.lit("→"), F.col("root_id"))))).alias("resolved")).distinct()
     through = imports.join(targets, "resolved").withColumn("tier", F.lit(1))
     rows = direct.unionByName(through)
     once = top(rows, ["query", "path", "line", "name"], [F.col("tier"), *[F.col(c) for c in PLACE]], 1, "_first").drop("_first")
@@ -163,11 +167,14 @@ def importers_of_package(refs: DataFrame, packages: DataFrame, aliases: DataFram
 
 
 def external_dependency(refs: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Mark imports of packages: not relative, unresolved, and in no alias."""
-    known = aliases.select(F.col("package").alias("_package")).distinct()
-    rows = refs.withColumn("_p", e.package_of("module")).join(known, F.col("_p") == F.col("_package"), "left")
-    outside = e.is_external_module() & F.col("resolved").isNull() & F.col("_package").isNull()
-    return rows.withColumn("external_dependency", F.coalesce(outside, F.lit(False))).drop("_p", "_package")
+    """Mark imports of packages: not relative, unresolved, and behind no alias: neither the
+    specifier, nor its package, nor the beginning of a wildcard."""
+    modules = refs.where("module IS NOT NULL").select("module").distinct()
+    keys = modules.withColumn("package", F.explode(F.array("module", e.package_of("module"))))
+    known = keys.join(aliases.select("package").distinct(), "package", "left_semi").select("module").union(wildcard_hits(modules, aliases).select("module")).distinct()
+    rows = refs.join(known.withColumn("_known", F.lit(True)), "module", "left")
+    outside = e.is_external_module() & F.col("resolved").isNull() & F.col("_known").isNull()
+    return rows.withColumn("external_dependency", F.coalesce(outside, F.lit(False))).select(*refs.columns, "external_dependency")
 
 
 def one_hop_imports(refs: DataFrame, paths: DataFrame, most: int = 32) -> DataFrame:

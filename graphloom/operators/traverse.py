@@ -32,7 +32,10 @@ def impact(refs: DataFrame, symbols: DataFrame, files: DataFrame, queries: DataF
     """What each query reaches backwards, with depth, in walk order (``rank`` from 1).
 
     A name is marked visited before the gate is asked, so a name first met from a file of
-    another language stays closed. The limit counts emitted rows of a query.
+    another language stays closed. The limit counts emitted rows of a query: rows beyond it are
+    dropped level by level, and a query that is full leaves the walk. Each level keeps the first
+    ``limit`` rows of a query by a rank that Spark cuts before it shuffles, so the refs of a very
+    common name do not meet in one task.
     """
     edges = in_root(refs.where(e.is_sound() if sound else e.in_window(window)), roots)
     one_language = files.groupBy("path").agg(F.min("language").alias("cited"))
@@ -40,11 +43,11 @@ def impact(refs: DataFrame, symbols: DataFrame, files: DataFrame, queries: DataF
     open_names = cut(gate_names(symbols, files)) if gated else None
     base = queries.select("query").distinct()
     visited = base.select("query", F.col("query").alias("leaf"))
-    frontier = base.select("query", F.col("query").alias("leaf"), F.lit(1).cast("long").alias("ord"))
+    frontier = base.select("query", F.col("query").alias("leaf"), F.lit(1).cast("long").alias("ord"), F.lit(limit).cast("long").alias("room"))
     seen = out = None
     for level in range(1, depth + 1):
         if level == 1:
-            hits = matches(edges, base).withColumn("ord", F.lit(1).cast("long"))
+            hits = matches(edges, base).withColumn("ord", F.lit(1).cast("long")).withColumn("room", F.lit(limit).cast("long"))
         else:
             hits = frontier.join(edges, F.col("leaf") == F.col("name")).drop("leaf")
         order = [F.col("ord"), *[F.col(c) for c in PLACE]]
@@ -52,18 +55,19 @@ def impact(refs: DataFrame, symbols: DataFrame, files: DataFrame, queries: DataF
         hits = top(hits, place, order, 1, "_first").drop("_first")
         if seen is not None:
             hits = hits.join(seen, [*place], "left_anti")
-        hits = hits.withColumn("at", F.row_number().over(Window.partitionBy("query").orderBy(*order)).cast("long")).withColumn("depth", F.lit(level)).withColumn("_leaf", e.last_segment("enclosing"))
-        hits = cut(hits.select(*COLUMNS, "cited", "at", "_leaf"))
+        hits = top(hits, ["query"], order, limit, "at").where(F.col("at") <= F.col("room")).withColumn("at", F.col("at").cast("long"))
+        hits = hits.withColumn("room", F.col("room") - F.count(F.lit(1)).over(Window.partitionBy("query"))).withColumn("depth", F.lit(level)).withColumn("_leaf", e.last_segment("enclosing"))
+        hits = cut(hits.select(*COLUMNS, "cited", "at", "room", "_leaf"))
         out = hits if out is None else out.unionByName(hits)
         if level == depth:
             break
-        fresh = hits.where("_leaf <> ''").select("query", F.col("_leaf").alias("leaf"), "cited", "at")
+        fresh = hits.where("_leaf <> '' AND room > 0").select("query", F.col("_leaf").alias("leaf"), "cited", "at", "room")
         fresh = top(fresh, ["query", "leaf"], [F.col("at")], 1, "_first").drop("_first").join(visited, ["query", "leaf"], "left_anti")
         if gated:
             opened = fresh.alias("f").join(open_names.alias("o"), (F.col("f.leaf") == F.col("o.leaf")) & F.col("f.cited").eqNullSafe(F.col("o.language")), "left_semi")
         else:
             opened = fresh
-        frontier = cut(opened.select("query", "leaf", F.col("at").alias("ord")))
+        frontier = cut(opened.select("query", "leaf", F.col("at").alias("ord"), "room"))
         if frontier.isEmpty():
             break
         visited = cut(visited.unionByName(fresh.select("query", "leaf")))
@@ -76,16 +80,17 @@ def closure(edges: DataFrame, defined: DataFrame, most: int = 64) -> DataFrame:
     """Pairs (a, b) such that b can be called from a through defined names.
 
     ``edges`` (caller, callee), ``defined`` (name). Paths double each round, so rounds grow
-    with the logarithm of the longest chain.
+    with the logarithm of the longest chain; a round joins only pairs that the last one found.
     """
     ok = edges.join(defined.withColumnRenamed("name", "callee"), "callee", "left_semi").join(defined.withColumnRenamed("name", "caller"), "caller", "left_semi")
-    paths = cut(ok.select(F.col("caller").alias("a"), F.col("callee").alias("b")).distinct())
-    n = paths.count()
+    paths = fresh = cut(ok.select(F.col("caller").alias("a"), F.col("callee").alias("b")).distinct())
     for _ in range(most):
-        longer = paths.alias("x").join(paths.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"))
-        paths = cut(paths.union(longer).distinct())
-        m = paths.count()
-        if m == n:
+        left, right = (paths.select(F.col("a").alias("m"), F.col("b").alias("z")), paths.select(F.col("a").alias("w"), F.col("b").alias("m")))
+        ahead = fresh.withColumnRenamed("b", "m").join(left, "m").select("a", F.col("z").alias("b"))
+        behind = fresh.withColumnRenamed("a", "m").join(right, "m").select(F.col("w").alias("a"), "b")
+        known = paths.select(F.col("a").alias("ka"), F.col("b").alias("kb"))
+        fresh = cut(ahead.union(behind).distinct().join(known, (F.col("a") == F.col("ka")) & (F.col("b") == F.col("kb")), "left_anti"))
+        if fresh.isEmpty():
             break
-        n = m
+        paths = cut(paths.union(fresh))
     return paths

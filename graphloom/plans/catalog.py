@@ -387,7 +387,7 @@ def event_dispatch(f):
 @query("package_link", f"""WITH {ALIASES}, k AS (SELECT r.name, r.path, r.line, r.module, r.kind, r.resolved, (SELECT max(a.package) FROM a WHERE r.kind = 'import' AND (r.module = a.package OR r.module LIKE a.package || '/%')) AS p FROM g_refs r)
 SELECT k.name, k.path, k.line, k.module, coalesce(a.barrel, k.resolved) AS resolved FROM k LEFT JOIN a ON a.package = k.p""")
 def package_link(f):
-    return link.link_packages(f["g_refs"], aliases(f)).select("name", "path", "line", "module", "resolved")
+    return link.link_packages(f["g_refs"], aliases(f), f["g_files"]).select("name", "path", "line", "module", "resolved")
 
 
 def _page_imports(f: Frames) -> DataFrame:
@@ -418,7 +418,12 @@ def export_pick_symbol(f):
 
 @query("prune_missing", "SELECT s.name, s.path, s.root_id FROM g_symbols s WHERE EXISTS (SELECT 1 FROM g_files f WHERE f.path = s.path AND f.root_id = s.root_id)")
 def prune_missing(f):
-    return f["g_symbols"].join(f["g_files"], ["root_id", "path"], "left_semi").select("name", "path", "root_id")
+    from graphloom.sources.ingest import pruned
+
+    rows = f["g_symbols"]
+    for r in [r[0] for r in rows.select("root_id").distinct().collect()]:
+        rows = pruned(rows, f["g_files"], r)
+    return rows.select("name", "path", "root_id")
 
 
 @query("dirty_paths", "SELECT w.root_id, w.path FROM (SELECT root_id, path, mtime_ns + CASE WHEN size % 3 = 0 THEN 1 ELSE 0 END AS mtime_ns, size FROM g_files WHERE size % 7 > 0) w LEFT JOIN g_files f ON f.root_id = w.root_id AND f.path = w.path WHERE f.path IS NULL OR f.mtime_ns <> w.mtime_ns OR f.size <> w.size OR w.mtime_ns = 0")

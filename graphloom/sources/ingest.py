@@ -71,20 +71,41 @@ class Index:
     def _p(self, name: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
-    def meta(self) -> dict:
-        if not self._fs.exists(self._p("meta.json")):
+    def _metas(self) -> list[str]:
+        """The names of the states, oldest first."""
+        found = self._fs.globStatus(self._p("meta-*.json")) or []
+        return sorted(f.getPath().getName() for f in found)
+
+    def meta(self, name: str | None = None) -> dict:
+        name = name or next(reversed(self._metas()), None)
+        if name is None:
             return {"schema_version": "2", "index_seq": 0, "versions": {}}
-        text = "\n".join(r[0] for r in self.spark.read.option("wholetext", True).text(f"{self.path}/meta.json").collect())
+        text = "\n".join(r[0] for r in self.spark.read.option("wholetext", True).text(f"{self.path}/{name}").collect())
         return json.loads(text)
 
     def save_meta(self, meta: dict) -> None:
-        """Write beside, then rename: readers see the old or the new state."""
-        new, live = self._p(f"meta.{time.time_ns()}.tmp"), self._p("meta.json")
+        """Add a state with the next number: it is written beside and renamed to a name that is
+        free, so readers see one whole state or the other, and of two writers one fails. The state
+        before stays for readers that just chose it; older ones go."""
+        known = self._metas()
+        number = int(known[-1].removeprefix("meta-").removesuffix(".json")) + 1 if known else 1
+        new, live = self._p(f".meta.{time.time_ns()}.tmp"), self._p(f"meta-{number:012d}.json")
         out = self._fs.create(new)
         out.write(bytearray(json.dumps(meta, sort_keys=True).encode()))
         out.close()
-        self._fs.delete(live, False)
-        self._fs.rename(new, live)
+        if not self._fs.rename(new, live):
+            raise RuntimeError(f"another writer made {live.getName()}")
+        for name in known[:-1]:
+            self._fs.delete(self._p(name), False)
+
+    def vacuum(self) -> int:
+        """Delete the folders that neither the current state nor the one before names; how many."""
+        used = {v for name in self._metas() for v in self.meta(name)["versions"].values()}
+        kinds = {n.split("-")[0] for n in used}
+        old = [f.getPath() for f in self._fs.listStatus(self._p("")) if f.isDirectory() and f.getPath().getName().split("-")[0] in kinds and f.getPath().getName() not in used] if used else []
+        for path in old:
+            self._fs.delete(path, True)
+        return len(old)
 
     def read(self, name: str, version: str | None = None) -> DataFrame:
         version = version or self.meta()["versions"].get(name)
@@ -143,26 +164,32 @@ def build(index: Index, walk: DataFrame, extract: Callable[[DataFrame], dict[str
         changed = with_content(changed)
     hashed = changed.withColumn("hash", F.coalesce(F.sha2("content", 256), F.lit("parse-error")))
     known = files.select("root_id", "path", F.col("hash").alias("_h"))
-    same = hashed.join(known, ["root_id", "path"]).where("hash = _h").select("root_id", "path")
-    todo = (hashed if force else hashed.join(same, ["root_id", "path"], "left_anti")).persist()
+    # A file that was touched but holds the same is not read again; only its time is kept.
+    touched = hashed.limit(0) if force else hashed.join(known, ["root_id", "path"]).where("hash = _h").drop("_h").persist()
+    todo = hashed.join(touched, ["root_id", "path"], "left_anti").persist()
     gone = deleted(listed, files, root)
-    n_todo, n_gone = todo.count(), gone.count()
+    n_todo, n_gone, n_touched = todo.count(), gone.count(), touched.count()
+    as_files = lambda rows: rows.select(*[F.col(f.name).cast(f.dataType) for f in s.FILES])
     if not n_todo and not n_gone:
+        if n_touched:
+            index.write({"files": replaced(files, as_files(touched), touched.select("root_id", "path"), root)})
         index.snapshot()
         return {"indexed": 0, "deleted": 0, "noop": True}
     parts = extract(todo)
     paths = todo.select("root_id", "path")
-    new_files = todo.select(*[F.col(f.name).cast(f.dataType) for f in s.FILES])
+    new_files = as_files(todo.unionByName(touched))
     old = {n: index.read(n) for n in RELATIONS}
     parts["symbols"] = with_descriptions(parts["symbols"], old["symbols"])
     parts["files"] = new_files
-    out = {n: pruned(replaced(old[n], parts[n], paths, root), listed, root) for n in RELATIONS}
+    renewed = {n: paths for n in RELATIONS} | {"files": paths.union(touched.select("root_id", "path"))}
+    out = {n: pruned(replaced(old[n], parts[n], renewed[n], root), listed, root) for n in RELATIONS}
     index.write(out)
     if scope is None:
         index.snapshot()
     else:
         index.save_meta(index.meta() | {"baseline_stale": True})
     todo.unpersist()
+    touched.unpersist()
     return {"indexed": n_todo, "deleted": n_gone, "noop": False}
 
 

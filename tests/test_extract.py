@@ -42,7 +42,29 @@ def test_python():
 def test_python_violations_and_hooks():
     f = python.extract("import ctypes\ne = eval\neval('1')\n__import__(n)\nsetattr(a, 'b', 1)\ngetattr(a, n)\nimport_module(n)\nvars(a)['x']\nfrom builtins import exec\nclass A:\n    def __init_subclass__(cls): pass\nclass B(A): pass\nclass C:\n    def __getattr__(self, n): pass\n")
     assert kinds(f) == ["py___import__", "py_builtins", "py_ctypes", "py_dynamic_attr", "py_eval_alias", "py_eval_exec", "py_getattr_dynamic", "py_import_module_dynamic", "py_setattr", "py_vars_subscript"]
-    assert ruled(f, "py.framework.init_subclass") == [("A", "B", None)]
+    assert ruled(f, "py.framework.init_subclass") == [(None, "B", None)]
+
+
+def test_python_columns():
+    f = python.extract("def e(): pass\nclass s(A, B): pass\nasync def d(): pass\nclass  \\\n  far: pass\n@x\ndef g(): pass\n")
+    assert [(r["name"], r["start_col"]) for r in f.symbols] == [("e", 4), ("s", 6), ("d", 10), ("far", 2), ("g", 4)]
+
+
+def test_bodies_are_never_skipped():
+    assert kinds(typescript.extract("@Dec(eval('x')) class A {}")) == ["eval"]
+    f = rust.extract("inventory::submit! { P::new(unsafe { g() }) }")
+    assert kinds(f) == ["unsafe"] and ruled(f, "rs.di.inventory_submit")
+
+
+@pytest.mark.parametrize(("text", "hit"), [("use inventory::submit; submit! { P::new() }", True), ("use inventory::{submit as put}; put!(P::new());", True), ("submit! { P::new() }", False), ("use evil::{inventory::submit}; submit! { P::new() }", False), ("crate::inventory::submit! { P::new() }", True), ("evil::inventory::submit! { P::new() }", False), ("use inventory as inv; inv::submit! { P::new() }", True), ("use inventory::submit as put; submit! { P::new() }", False)])
+def test_inventory_names(text, hit):
+    assert bool(ruled(rust.extract(text), "rs.di.inventory_submit")) is hit
+
+
+def test_any_fault_is_a_parse_error():
+    found = x.one_file("rust", b"#[distributed_slice(S)]static X: Tstatic X: T {use a::{b, c} c} ;")
+    assert all(isinstance(r, dict) for _, r in found)
+    assert x.one_file("cobol", b"x") == []
 
 
 def test_typescript():

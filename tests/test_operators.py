@@ -144,21 +144,38 @@ def test_dispatch_is_emits_times_distinct_handlers(spark):
 
 def test_package_keys(spark):
     aliases = frame(spark, [("@a/p", "r1", "i.ts", None, "j"), ("@a/p/sub", "r1", "s.ts", None, "j"), ("@b/*", "r2", None, "src/*.ts", "t")], s.ALIASES)
-    rows = [ref("x", kind="import", module=m) for m in ("@a/p", "@a/p/other", "@a/p/sub/deep", "@b/util", "@A/P", "lodash")]
-    got = {r.module: r.resolved for r in link.link_packages(frame(spark, rows, s.REFS), aliases).collect()}
-    assert got == {"@a/p": "i.ts", "@a/p/other": "i.ts", "@a/p/sub/deep": "s.ts", "@b/util": "src/util.ts", "@A/P": "i.ts", "lodash": None}
+    aliases = aliases.union(frame(spark, [("@/*", "r3", "src/*", None, "t"), ("@/deep/*", "r3", "lib/*", None, "t")], s.ALIASES))
+    files = frame(spark, [file("src/util.ts", root="r2"), file("src/$lib/x.tsx", root="r3"), file("lib/y/index.js", root="r3"), file("src/z", root="r2")], s.FILES)
+    rows = [ref("x", kind="import", module=m) for m in ("@a/p", "@a/p/other", "@a/p/sub/deep", "@b/util", "@A/P", "lodash", "@/$lib/x", "@/deep/y", "@/nothere", "@/z", "./@/z")]
+    got = {r.module: r.resolved for r in link.link_packages(frame(spark, rows, s.REFS), aliases, files).collect()}
+    assert got == {"@a/p": "i.ts", "@a/p/other": "i.ts", "@a/p/sub/deep": "s.ts", "@b/util": "src/util.ts", "@A/P": "i.ts", "lodash": None, "@/$lib/x": "src/$lib/x.tsx", "@/deep/y": "lib/y/index.js", "@/nothere": None, "@/z": None, "./@/z": None}
+    # Any alias that a specifier lies behind makes it one of the workspace.
+    marked = {r.module: r.external_dependency for r in lookup.external_dependency(frame(spark, rows, s.REFS), aliases).collect()}
+    assert marked == {m: m in ("@A/P", "lodash") for m in got}
+
+
+def test_importers_of_deep_paths(spark):
+    aliases = frame(spark, [("pkg", "r1", None, "b.ts", "j")], s.ALIASES)
+    rows = [ref("x", line=i, kind="import", module=m, resolved=t) for i, (m, t) in enumerate([("pkg/a/b/c", None), ("pkg/a", None), ("pkg/ab", None), ("./q", "b.ts")])]
+    got = lookup.importers_of_package(frame(spark, rows, s.REFS), lookup.names(spark, "pkg/a", "pkg"), aliases).collect()
+    assert {(r.query, r.module) for r in got} == {("pkg/a", "pkg/a/b/c"), ("pkg/a", "pkg/a"), ("pkg/a", "./q"), ("pkg", "pkg/a/b/c"), ("pkg", "pkg/a"), ("pkg", "pkg/ab"), ("pkg", "./q")}
+
+
+def test_ids_tell_nulls_apart(spark):
+    one = [ref("n", "X", qualifier=None), ref("n", None, qualifier="X")]
+    assert link.with_id(frame(spark, one, s.REFS)).select("ref_id").distinct().count() == 2
 
 
 def test_import_resolution(spark):
-    files = frame(spark, [file(p) for p in ("s/b.ts", "s/b/index.ts", "s/c/index.js", "p/__init__.py", "p/q/m.py", "g/x/y/k.go", "k/src/lib.rs", "k/src/a/mod.rs", "k/src/a/b.rs", "k/src/c.rs")], s.FILES)
+    files = frame(spark, [file(p) for p in ("s/b.ts", "s/b/index.ts", "s/c/index.js", "p/__init__.py", "p/q/m.py", "g/x/y/k.go", "v/ex.com/x/y/k.go", "v/w/ex.com/x/y/a.go", "k/src/lib.rs", "k/src/a/mod.rs", "k/src/a/b.rs", "k/src/c.rs")], s.FILES)
     ts = [ref("b", kind="import", path="s/a.ts", module=m) for m in ("./b", "./c", "../s/b.ts", "./none", "react")]
     got = {r.module: r.resolved for r in link.resolve_imports(frame(spark, ts, s.REFS), files, link.ts_candidates()).collect()}
     assert got == {"./b": "s/b.ts", "./c": "s/c/index.js", "../s/b.ts": "s/b.ts", "./none": None, "react": None}
     py = [ref("m", kind="import", path="p/q/n.py", module=m) for m in (".m", "..", "p.q.m", "os")]
     got = {r.module: r.resolved for r in link.resolve_imports(frame(spark, py, s.REFS), files, link.py_candidates()).collect()}
     assert got == {".m": "p/q/m.py", "..": "p/__init__.py", "p.q.m": "p/q/m.py", "os": None}
-    go = [ref("k", kind="import", path="g/m.go", module=m) for m in ("ex.com/x/y", "fmt")]
-    assert {r.module: r.resolved for r in link.go_resolve(frame(spark, go, s.REFS), files).collect()} == {"ex.com/x/y": "g/x/y/k.go", "fmt": None}
+    go = [ref("k", kind="import", path="g/m.go", module=m) for m in ("ex.com/x/y", "fmt", "other.org/z/x/y")]
+    assert {r.module: r.resolved for r in link.go_resolve(frame(spark, go, s.REFS), files).collect()} == {"ex.com/x/y": "v/ex.com/x/y/k.go", "fmt": None, "other.org/z/x/y": None}
 
 
 def test_rust_paths(spark):
