@@ -41,11 +41,14 @@ def small_batches(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what ``spark.checkpoint.dir`` says; only where that is unset (a local session,
-    as in tests) a temporary folder is made and kept for the session.
+    It is what ``spark.checkpoint.dir`` says; only where that is unset in a local session, as in
+    tests, a temporary folder is made and kept for the session. On a cluster without it nothing
+    is shared, and that is an error.
     """
     known = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.graphloom.sharedDir", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         known = tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.graphloom.sharedDir", known)
     return known.rstrip("/")

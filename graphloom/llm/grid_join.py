@@ -2,12 +2,13 @@
 
 Equal vectors form one class. The classes of each vector length are normalised, so that a
 cosine threshold is a Euclidean radius, projected on a few leading principal directions, and
-sorted by the cells of a grid as wide as that radius. The sequence is cut into intervals of bounded length. Pairs of
-intervals whose bounding boxes are further apart than the radius are never formed; the others
-are joined in one task each by recursion on halves, which again skips distant blocks, down to
+sorted by the cells of a grid as wide as that radius. The sequence is cut into intervals of bounded
+length. Pairs of intervals whose bounding boxes are further apart than the radius are never
+formed; the others meet by tiles of a few intervals, in one task for two tiles, by recursion on halves, which again skips distant blocks, down to
 blocks that one matrix product compares. A task returns counts and a spanning forest, not the
 linked pairs, so a dense group does not multiply rows. The result is exact: projections can
-only shorten distances.
+only shorten distances. The length of what a projection leaves out is one more coordinate: two
+remainders are at least as far apart as their lengths.
 """
 
 from __future__ import annotations
@@ -20,14 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import components, written
+from graphloom.llm.common import components, spent, written
 
 THRESHOLD = 0.9
 #: Leading principal directions that are used; they are fitted on at most SAMPLE classes.
 LEADING = 8
 SAMPLE = 4096
-#: Classes of one interval: two intervals are what a task holds.
+#: Classes of one interval; pairs of intervals are what boxes rule out.
 INTERVAL = 4096
+#: Intervals of a tile: two tiles are what a task holds, so a class is copied once a tile.
+TILE = 4
+#: Bytes of vectors that a tile may hold; longer vectors make shorter intervals.
+TILE_BYTES = 64 << 20
 #: Classes of a block that is compared without further recursion.
 BLOCK = 512
 
@@ -71,13 +76,16 @@ def directions(classes: DataFrame, dim: int, leading: int = LEADING) -> np.ndarr
 
 
 def in_grid_order(classes: DataFrame, basis: np.ndarray, radius: float, interval: int) -> DataFrame:
-    """The classes with their projections y0.. and the number of their interval, written."""
-    names = [f"y{i}" for i in range(basis.shape[1])]
+    """The classes with their projections y0.., the length of the remainder as the last of them,
+    and the number of their interval, written."""
+    names = [f"y{i}" for i in range(basis.shape[1] + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            y = np.frombuffer(b"".join(batch.column(2).to_pylist())).reshape(batch.num_rows, -1) @ basis
+            v = np.frombuffer(b"".join(batch.column(2).to_pylist())).reshape(batch.num_rows, -1)
+            y = v @ basis
             cells = np.floor(y / radius).astype(np.int32)
+            y = np.column_stack((y, np.linalg.norm(v - y @ basis.T, axis=1)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(cells), pa.list_(pa.int32())), *[pa.array(np.ascontiguousarray(c)) for c in y.T]], ["key", "n", "vec", "cells", *names])
 
     placed = classes.select("key", "n", "vec").mapInArrow(run, "key binary, n long, vec binary, cells array<int>, " + ", ".join(f"{n} double" for n in names))
@@ -92,7 +100,7 @@ def in_grid_order(classes: DataFrame, basis: np.ndarray, radius: float, interval
         before.append((r["part"], total))
         total += r["count"]
     shift = ordered.sparkSession.createDataFrame(before or [(0, 0)], "part long, shift long")
-    return ordered.withColumn("part", part).join(F.broadcast(shift), "part").withColumn("at", row + F.col("shift")).withColumn("interval", F.floor(F.col("at") / interval).cast("long")).drop("part", "shift")
+    return ordered.withColumn("part", part).join(shift, "part").withColumn("at", row + F.col("shift")).withColumn("interval", F.floor(F.col("at") / interval).cast("long")).drop("part", "shift")
 
 
 def near_intervals(ordered: DataFrame, radius: float, leading: int) -> DataFrame:
@@ -158,14 +166,15 @@ class Links:
 
 
 def linked(ordered: DataFrame, pairs: DataFrame, radius: float, threshold: float, leading: int) -> DataFrame:
-    """For each class and pair of intervals in which it links: key, links, root (a class)."""
-    sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("interval"))
-    rows = ordered.join(sides, "interval")
+    """For each class and pair of tiles in which it links: key, links, root (a class)."""
+    tiles = pairs.select(F.floor(F.col("a") / TILE).alias("a"), F.floor(F.col("b") / TILE).alias("b")).distinct()
+    sides = tiles.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("tile"))
+    rows = ordered.withColumn("tile", F.floor(F.col("interval") / TILE)).join(sides, "tile")
     names = [f"y{i}" for i in range(leading)]
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("at")
-        inside = table["interval"].to_numpy()
+        inside = table["tile"].to_numpy()
         links = Links(np.stack([table[c].to_numpy() for c in names], 1), np.frombuffer(b"".join(table["vec"].to_pylist())).reshape(len(inside), -1), table["n"].to_numpy(), radius, threshold)
         cut = int(np.searchsorted(inside, inside[0], side="right"))
         links.join(slice(0, cut), slice(0, cut) if cut == len(inside) else slice(cut, len(inside)))
@@ -173,7 +182,7 @@ def linked(ordered: DataFrame, pairs: DataFrame, radius: float, threshold: float
         keys = table["key"].combine_chunks()
         return pa.table({"key": keys.take(pa.array(at)), "links": links.count[at], "root": keys.take(pa.array(links.root[at]))})
 
-    return rows.select("a", "b", "interval", "at", "key", "n", "vec", *names).groupBy("a", "b").applyInArrow(run, "key binary, links long, root binary")
+    return rows.select("a", "b", "tile", "at", "key", "n", "vec", *names).groupBy("a", "b").applyInArrow(run, "key binary, links long, root binary")
 
 
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, id: str = "vec_id", vector: str = "embedding", interval: int = INTERVAL, leading: int = LEADING) -> DataFrame:
@@ -194,8 +203,11 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, id: str = "ve
     # A length of one class has no pair to compare.
     for dim in sorted(r["dim"] for r in classes.groupBy("dim").count().where("count > 1").collect()):
         mine, lead = classes.where(F.col("dim") == dim), min(leading, dim)
-        ordered = written(in_grid_order(mine, directions(mine, dim, lead), radius, interval), "grid")
-        found = found.union(written(linked(ordered, written(near_intervals(ordered, radius, lead), "near"), radius, threshold, lead), "linked"))
+        size = max(BLOCK, min(interval, TILE_BYTES // (8 * dim * TILE))) if interval > BLOCK else interval
+        ordered = written(in_grid_order(mine, directions(mine, dim, lead), radius, size), "grid")
+        near = written(near_intervals(ordered, radius, lead + 1), "near")
+        found = found.union(written(linked(ordered, near, radius, threshold, lead + 1), "linked"))
+        spent(ordered, near)
     group = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     known = classes.select("key", "least", "n").join(links, "key", "left").join(group.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
