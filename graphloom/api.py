@@ -35,9 +35,34 @@ class Engine:
         if not bad.isEmpty():
             old = self.index.read("violations")
             self.index.write({"violations": ingest.replaced(old, bad, bad.select("root_id", "path"), root_id)})
+        trees = self.index.meta().get("trees", {})
+        if trees.get(root_id) != tree:
+            self.index.save_meta(self.index.meta() | {"trees": trees | {root_id: tree}})
         self._memo.clear()
         return done
 
+    def lines(self) -> DataFrame:
+        """The sources' lines as they are now: root_id, path, line (from 1), text. Tasks read them."""
+        out = self.spark.createDataFrame([], "root_id string, path string, line int, text string")
+        for root_id, tree in self.index.meta().get("trees", {}).items():
+            files = self.files.where(F.col("root_id") == root_id).select("root_id", "path", F.concat(F.lit(walk.qualified(self.spark, tree)), "path").alias("uri"))
+            rows = walk.with_content(files).where("content IS NOT NULL").select("root_id", "path", F.posexplode(F.split(F.decode("content", "UTF-8"), "\r?\n")).alias("line", "text"))
+            out = out.unionByName(rows.withColumn("line", F.col("line") + 1))
+        return out
+
+    def root_ids(self, filters: list[str]) -> list[str]:
+        """The roots that filters name: by path, as it was recorded or as it resolves, or by id;
+        what is not recorded counts by its last part."""
+        import os
+
+        recorded = self.index.meta().get("workspace_roots", [])
+        real = lambda p: os.path.realpath(p).replace("\\", "/")
+        out = []
+        for f in filters:
+            hit = next((r["id"] for r in recorded if f in (r["path"], r["id"]) or real(r["path"]) == real(f)), None)
+            out.append(hit if hit is not None else real(f).rstrip("/").rsplit("/", 1)[-1])
+        return out
+
     def _resolved(self, refs: DataFrame, files: DataFrame) -> DataFrame:
         """Resolve imports by language; other refs pass."""
         imports = refs.where("kind = 'import'").join(files.select("root_id", "path", "language"), ["root_id", "path"])
@@ -171,7 +196,8 @@ class Engine:
 
     def subset(self) -> dict:
         g = recipes._gate(self.files, self.violations, self.roots)
-        return g | {"violations": recipes.as_table(lookup.in_root(self.violations, self.roots).orderBy("root_id", "path", "line", "kind"))}
+        bad = recipes.as_table(lookup.in_root(self.violations, self.roots).orderBy("root_id", "path", "line", "kind"))
+        return g | {"violation_count": len(bad), "violations": bad}
 
     def stats(self) -> dict:
         lookup.require_index(self.files)
@@ -211,12 +237,12 @@ class Engine:
         """Write an export folder: ``scip`` (sequence of messages), ``scip-json`` or ``lsif`` lines."""
         lookup.require_index(self.files)
         if kind == "scip":
-            docs = export.scip_documents(self.symbols, self.refs, self.files, project, window)
+            docs = export.scip_documents(self.symbols, self.refs, self.files, project, window, self.lines())
             docs.write.parquet(out)
         elif kind == "scip-json":
-            export.scip_json(self.symbols, self.refs, self.files, root, project, window).select("json").write.text(out)
+            export.scip_json(self.symbols, self.refs, self.files, root, project, window, self.lines()).select("json").write.text(out)
         elif kind == "lsif":
-            export.lsif(self.symbols, self.refs, self.files, root, window).orderBy("id").select("json").write.text(out)
+            export.lsif(self.symbols, self.refs, self.files, root, window, self.lines()).orderBy("id").select("json").write.text(out)
         else:
             raise ValueError(f"no export is called {kind!r}")
 
@@ -239,11 +265,15 @@ class Engine:
         return rows.withColumn("path", F.coalesce("mapped", "path"))
 
     def build_side(self, tree: str, path: str, root: str, pairs: list[tuple[str, str, bool]] = ()) -> dict:
-        """Index an expanded tree beside the sources. It may not be, or lie within, their root."""
+        """Index an expanded tree beside the sources. It may not be, or lie within, their root.
+        Pairs that are not given are found by comparing the trees."""
         norm = lambda p: p.rstrip("/") + "/"
         if norm(tree).startswith(norm(root)) or norm(root).startswith(norm(tree)):
             raise ValueError("the expanded tree must lie outside the sources")
-        done = Engine(self.spark, path).build(tree)
+        expanded = Engine(self.spark, path)
+        done = expanded.build(tree)
+        given = self.spark.createDataFrame([tuple(p) for p in pairs], "expanded string, source string, prefix boolean")
+        pairs = [tuple(r) for r in sidecar.discovered(expanded.files, given, self.files).collect()]
         self.index.save_meta(self.index.meta() | {"sidecar": path, "path_map": [list(p) for p in pairs], "expanded_root": tree, "source_fingerprint": sidecar.fingerprint(self.files).first()[0]})
         return done
 

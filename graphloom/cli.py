@@ -10,9 +10,11 @@ import time
 from pyspark.sql import DataFrame
 
 from graphloom.api import Engine
-from graphloom.operators import graphview, recipes
+from graphloom.config import macro_default
+from graphloom.operators import graphview, lookup, recipes
 from graphloom.session import session
 from graphloom.sources import workspace
+from graphloom.streaming.watch import poll
 
 
 def window_of(a: argparse.Namespace) -> str:
@@ -48,7 +50,9 @@ def parser() -> argparse.ArgumentParser:
     command("stats")
     command("find", "name", limit=20, fuzzy=False)
     command("callers", "name", limit=50, with_macro=False, no_macro_dedup=False, include_implementors=False, implementors_only=False, **windows)
-    command("impact", "name", depth=2, limit=100, **windows)
+    command("impact", "name", depth=2, limit=100, with_macro=False, **windows)
+    command("watch", "tree", root_id="", interval=2.0, rounds=0)
+    command("enrich", limit=100)
     command("who-calls", "name", limit=50, noisy=False)
     command("blast-radius", "name", depth=3, limit=100, markdown=False)
     command("related", "name", limit=10)
@@ -66,6 +70,7 @@ def parser() -> argparse.ArgumentParser:
 
 def run(engine: Engine, a: argparse.Namespace):
     c = a.command
+    macro = getattr(a, "with_macro", False) or (c in ("callers", "impact") and macro_default(".")[0] != "off" and bool(engine.index.meta().get("sidecar")))
     if c == "index":
         return engine.build(a.tree, a.root_id, a.force)
     if c == "workspace-index":
@@ -85,12 +90,17 @@ def run(engine: Engine, a: argparse.Namespace):
         w = window_of(a)
         if a.sound:
             return recipes.sound_report(engine.files, engine.refs, engine.violations, a.name, a.limit, engine.roots)
-        if a.with_macro:
+        if macro and not (a.include_implementors or a.implementors_only):
             return plain(engine.callers(a.name, window=w, limit=a.limit, macro=w != "exact", dedup=not a.no_macro_dedup))
         mode = "include_implementors" if a.include_implementors else "implementors_only" if a.implementors_only else "separate"
         return engine.callers_payload(a.name, w, a.limit, mode)
     if c == "impact":
-        return plain(engine.impact(a.name, depth=a.depth, limit=a.limit, window=window_of(a), sound=a.sound).orderBy("rank"))
+        return plain(engine.impact(a.name, depth=a.depth, limit=a.limit, window=window_of(a), sound=a.sound, macro=macro and not a.sound).orderBy("rank"))
+    if c == "watch":
+        return {"built": poll(engine, a.tree, a.root_id, a.interval, a.rounds or None, lambda done: print(json.dumps(done), flush=True))}
+    if c == "enrich":
+        # No labeler is shipped: these are the symbols that one would be asked about.
+        return plain(lookup.undescribed(engine.symbols, a.limit).select("root_id", "path", "qualified_name", "kind"))
     if c == "who-calls":
         return engine.who_calls(a.name, a.limit, a.noisy)
     if c == "blast-radius":
@@ -141,7 +151,8 @@ def main(args: list[str] | None = None) -> int:
     a = parser().parse_args(args)
     spark = session()
     spark.sparkContext.setLogLevel("ERROR")
-    engine = Engine(spark, a.index, a.roots)
+    engine = Engine(spark, a.index)
+    engine.roots = engine.root_ids(a.roots) if a.roots else None
     if a.command == "mcp":
         from graphloom.mcp import serve
 

@@ -115,9 +115,9 @@ def scip_documents(symbols: DataFrame, refs: DataFrame, files: DataFrame, projec
     return rows.groupBy("root_id", "path").applyInPandas(run, "root_id string, path string, message binary")
 
 
-def scip_json(symbols: DataFrame, refs: DataFrame, files: DataFrame, root: str, project: str = "project", window: str = "default") -> DataFrame:
+def scip_json(symbols: DataFrame, refs: DataFrame, files: DataFrame, root: str, project: str = "project", window: str = "default", lines: DataFrame | None = None) -> DataFrame:
     """One JSON line per document."""
-    occ = occurrences(symbols, refs, files, project, window)
+    occ = occurrences(symbols, refs, files, project, window, lines)
     one = F.struct(F.array("line", "col", "end_col").alias("range"), "symbol", F.col("roles").alias("symbolRoles"))
     docs = occ.groupBy("root_id", "path").agg(F.array_sort(F.collect_list(one)).alias("occurrences"))
     docs = docs.join(files.select("root_id", "path", "language"), ["root_id", "path"], "left")
@@ -127,14 +127,14 @@ def scip_json(symbols: DataFrame, refs: DataFrame, files: DataFrame, root: str,
 # ---- line JSON ----------------------------------------------------------------------------
 
 
-def lsif(symbols: DataFrame, refs: DataFrame, files: DataFrame, root: str, window: str = "default") -> DataFrame:
+def lsif(symbols: DataFrame, refs: DataFrame, files: DataFrame, root: str, window: str = "default", lines: DataFrame | None = None) -> DataFrame:
     """Vertices and edges as (id, json) in order: head, documents, ranges and results.
 
     Ids are dense and follow a total order, so two runs give the same lines. They come from
     ranks that deal rows over ranges of the order, not from one sorting task.
     """
     spark = symbols.sparkSession
-    occ = occurrences(symbols, refs, files, "project", window)
+    occ = occurrences(symbols, refs, files, "project", window, lines)
     docs = occ.select("root_id", "path").distinct().join(files.select("root_id", "path", "language"), ["root_id", "path"], "left")
     head = [("", "", -3, "", 0, 0, json.dumps({"type": "vertex", "label": "metaData", "version": "0.4.3", "projectRoot": root})), ("", "", -2, "", 0, 0, json.dumps({"type": "vertex", "label": "project"}))]
     order = "root_id string, path string, tier int, symbol string, line int, col int, body string"

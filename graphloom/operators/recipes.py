@@ -86,8 +86,9 @@ def sound_report(files: DataFrame, refs: DataFrame, violations: DataFrame, name:
     return {"mode": "sound", "subset_ok": g["subset_ok"], "promise_tier": g["promise_tier"], "promise": g["promise"], "subset_violations": bad, "callers": [{k: v for k, v in r.asDict().items() if k not in ("query", "rank")} for r in rows]}
 
 
-def as_table(df: DataFrame, most: int = 300) -> list[dict]:
-    return [r.asDict() for r in df.limit(most).collect()]
+def as_table(df: DataFrame) -> list[dict]:
+    """All rows as plain data; it is an answer for people, so it is read on the driver."""
+    return [r.asDict() for r in df.collect()]
 
 
 def markdown(report: dict, most: int = 20) -> str:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from graphloom.functions import exprs as e
 
 SHADOW_DIRS = ("expanded", "target", "macro-expanded")
+#: Folders that hold an expanded view and name no crate (fixed values).
+VIEW_DIRS = ("expanded-view", "expanded_view", "real-expanded", "real_expanded", "expand-shadow", "expand_shadow", "expanded", "shadow")
 
 
 def mapped_path(expanded: DataFrame, pairs: DataFrame, files: DataFrame) -> DataFrame:
@@ -28,12 +30,33 @@ def mapped_path(expanded: DataFrame, pairs: DataFrame, files: DataFrame) -> Data
     target = F.when(F.col("prefix"), e.repo_path(F.concat("_source", F.lit("/"), F.substring(F.col("_clean"), F.length("_up") + 1, F.length("_clean"))))).otherwise(F.col("_source"))
     explicit = fit.groupBy("path").agg(F.max_by(target, F.struct(F.length("_up"), ~F.col("prefix"))).alias("_explicit"))
     bare = F.array_join(F.filter(parts, lambda x: ~x.isin(*SHADOW_DIRS)), "/")
-    tries = paths.select("path", F.posexplode(F.array(clean, bare)).alias("pos", "file")).join(files.select(F.col("path").alias("file")).distinct(), "file")
+    # Last, a crate's folder or file may stand for the crate below crates/.
+    own = F.filter(parts, lambda x: ~F.lower(x).isin(*VIEW_DIRS, *SHADOW_DIRS))
+    crate, rest = F.coalesce(F.get(own, F.lit(0)), F.lit("")), F.array_join(F.slice(own, 2, 1 << 20), "/")
+    aligned = [F.concat(F.lit("crates/"), crate, F.lit(middle), rest) for middle in ("/", "/src/")]
+    aligned.append(F.when(F.size(own) == 1, F.concat(F.lit("crates/"), F.regexp_replace(crate, r"\.rs$", ""), F.lit("/src/lib.rs"))))
+    tries = paths.select("path", F.posexplode(F.array(clean, bare, *aligned)).alias("pos", "file")).join(files.select(F.col("path").alias("file")).distinct(), "file")
     found = tries.groupBy("path").agg(F.min_by("file", "pos").alias("_found"))
     known = paths.join(explicit, "path", "left").join(found, "path", "left").select("path", F.coalesce("_explicit", "_found").alias("mapped"))
     return expanded.join(known, "path", "left")
 
 
+def discovered(expanded: DataFrame, given: DataFrame, files: DataFrame) -> DataFrame:
+    """Pairs (expanded, source, prefix): those given, one for each expanded file whose source is
+    there, and one for each crate folder whose files lie in ``crates/<name>/src``.
+
+    A given pair for the same path or folder stays as it is. ``expanded`` and ``files`` have a path.
+    """
+    found = mapped_path(expanded.select("path").distinct(), given, files).where("mapped IS NOT NULL").join(files.select(F.col("path").alias("mapped")).distinct(), "mapped")
+    exact = found.select(F.col("path").alias("expanded"), F.col("mapped").alias("source"), F.lit(False).alias("prefix"))
+    parts = F.filter(F.split(e.repo_path("path"), "/"), lambda x: ~F.lower(x).isin(*VIEW_DIRS))
+    crates = found.where(F.col("mapped").rlike("^crates/[^/]+/src/") & (F.size(parts) > 1))
+    crates = crates.groupBy(F.concat(F.get(parts, F.lit(0)), F.lit("/")).alias("expanded")).agg(F.min(F.regexp_extract("mapped", "^(crates/[^/]+/src/)", 1)).alias("source")).withColumn("prefix", F.lit(True))
+    known = given.select(e.repo_path("expanded").alias("_e"), "prefix").distinct()
+    fresh = exact.unionByName(crates).withColumn("_e", e.repo_path("expanded")).join(known, ["_e", "prefix"], "left_anti")
+    return given.select("expanded", "source", "prefix").unionByName(fresh.select("expanded", "source", "prefix"))
+
+
 def _marked(main: DataFrame, side: DataFrame) -> DataFrame:
     """``side`` (with ``mapped``) and whether ``main`` has its edge exactly or heuristically."""
     enc = F.coalesce("enclosing", F.lit(""))

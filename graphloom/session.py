@@ -18,10 +18,13 @@ def session(app: str = "graphloom", **conf: str) -> SparkSession:
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a checkpoint in the folder that all executors share.
 
-    On a cluster that is ``spark.checkpoint.dir``; only where it is unset (a local session) a
-    temporary folder is used.
+    On a cluster that is ``spark.checkpoint.dir``; only where it is unset in a local session a
+    temporary folder is used. A cluster without it shares nothing, and that is an error.
     """
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="graphloom-"))
+        known = context.getConf().get("spark.checkpoint.dir")
+        if not known and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(known or tempfile.mkdtemp(prefix="graphloom-"))
     return df.checkpoint(eager=True)

@@ -61,6 +61,12 @@ def list_tree(spark: SparkSession, root: str, root_id: str = "") -> DataFrame:
     return spark.createDataFrame(rows, "root_id string, path string, uri string, mtime_ns long, size long")
 
 
+def qualified(spark: SparkSession, root: str) -> str:
+    """The address of ``root`` in the file system that owns it, with a slash at its end."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    return top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(top).toString().rstrip("/") + "/"
+
+
 def with_content(files: DataFrame) -> DataFrame:
     """Add ``content``, read by the tasks from ``uri``; null where a file can not be read."""
     names = files.columns

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import types as T
 
 from graphloom import schema as s
 from graphloom.functions import exprs as e
+from graphloom.operators import sidecar
+from graphloom.sources import walk
 
 #: Above this number of changed paths, or for a changed directory, everything is indexed.
 MOST_SCOPED = 64
@@ -59,3 +62,24 @@ def watch(spark: SparkSession, events_path: str, on_burst: Callable[[list[str] |
 
     stream = spark.readStream.schema(EVENTS).json(events_path)
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def poll(engine, tree: str, root_id: str = "", every: float = 2.0, rounds: int | None = None, on_build: Callable[[dict], None] | None = None) -> int:
+    """Index ``tree`` whenever the fingerprint of its listing changes; how often that was.
+
+    It looks every ``every`` seconds, ``rounds`` times or until it is stopped. A failed run is
+    tried again at the next look.
+    """
+    last, built, looks = None, 0, 0
+    while rounds is None or looks < rounds:
+        if looks:
+            time.sleep(max(0.05, every))
+        looks += 1
+        walked = walk.walk(engine.spark, tree, root_id).where("fate = 'source'")
+        sign = sidecar.fingerprint(walked).first()[0]
+        if sign != last:
+            done = engine.build(tree, root_id)
+            last, built = sign, built + 1
+            if on_build is not None:
+                on_build(done)
+    return built

@@ -8,7 +8,7 @@ import pytest
 from graphloom import cli, config
 from graphloom.api import Engine
 from graphloom.mcp import TOOLS, answer, serve
-from graphloom.operators import export, graphview, recipes
+from graphloom.operators import export, graphview, recipes, sidecar
 from graphloom.sources import walk, workspace
 from graphloom.sources.ingest import relative
 from graphloom.streaming import watch
@@ -101,6 +101,10 @@ def test_exports(engine, tmp_path):
     lines = [json.loads(x) for p in sorted((tmp_path / "lsif").glob("part-*")) for x in p.read_text().splitlines()]
     assert [x["id"] for x in lines] == list(range(1, len(lines) + 1)) and lines[0]["label"] == "metaData"
     engine.export("scip-json", str(tmp_path / "json"))
+    # References have the columns that their words have in the sources.
+    documents = [json.loads(x) for p in (tmp_path / "json").glob("part-*") for x in p.read_text().splitlines()]
+    spans = [o["range"] for d in documents if d["relativePath"] == "src/b.py" for o in d["occurrences"] if not o["symbolRoles"]]
+    assert spans == [[1, 11, 16]]
     with pytest.raises(ValueError):
         engine.export("other", str(tmp_path / "x"))
 
@@ -123,6 +127,47 @@ def test_side_dataset(spark, engine, tree, tmp_path):
     assert [(r.path, r.origin) for r in engine.callers("extra", macro=True).collect()] == [("src/a.py", "macro_expanded")]
 
 
+    assert {r.name for r in engine.impact("extra", macro=True).collect()} == {"extra"} and engine.impact("extra").count() == 0
+    assert ("src/a.py", "src/a.py", False) in [tuple(x) for x in engine.index.meta()["path_map"]]
+    # A sidecar that is older than the sources is not used.
+    (tree / "src" / "b.py").write_text("def work():\n    return 2\n")
+    engine.build(str(tree))
+    assert engine.side_status()["stale"] and engine.callers("extra", macro=True).count() == 0
+
+
+def test_path_maps_of_crates(spark):
+    files = spark.createDataFrame([("crates/foo/src/lib.rs",), ("crates/foo/src/a/b.rs",), ("crates/bar/src/lib.rs",)], "path string")
+    expanded = spark.createDataFrame([("expanded-view/foo/a/b.rs",), ("bar.rs",), ("none/x.rs",)], "path string")
+    given = spark.createDataFrame([], "expanded string, source string, prefix boolean")
+    got = {tuple(r) for r in sidecar.discovered(expanded, given, files).collect()}
+    assert got == {("expanded-view/foo/a/b.rs", "crates/foo/src/a/b.rs", False), ("bar.rs", "crates/bar/src/lib.rs", False), ("foo/", "crates/foo/src/", True)}
+
+
+def test_states_of_the_index(engine, tree):
+    import os
+
+    before = engine.index.meta()
+    names = [f.getPath().getName() for f in engine.index._fs.listStatus(engine.index._p("")) if f.isFile()]
+    assert 1 <= len([n for n in names if n.startswith("meta-")]) <= 2 and not [n for n in names if n.endswith(".tmp")]
+    # A touched file is known again at once: its time is kept, nothing is read into the relations.
+    os.utime(tree / "src" / "a.py", ns=(10**18, 10**18))
+    assert engine.build(str(tree))["noop"]
+    assert engine.files.where("path = 'src/a.py'").first().mtime_ns == 10**18
+    assert engine.index.meta()["versions"]["refs"] == before["versions"]["refs"]
+    (tree / "src" / "b.py").write_text("def work():\n    return 2\n")
+    assert engine.build(str(tree))["indexed"] == 1 and engine.index.vacuum() > 0
+    assert engine.stats()["files"] == 4 and engine.callers("work").count() == 2
+
+
+def test_poll(engine, tree):
+    assert watch.poll(engine, str(tree), every=0, rounds=2) == 1
+
+
+def test_root_filters(engine, tmp_path):
+    engine.index.save_meta(engine.index.meta() | {"workspace_roots": [{"id": "one", "path": str(tmp_path / "x")}]})
+    assert engine.root_ids([str(tmp_path / "y" / ".." / "x"), "one", "/else/two"]) == ["one", "one", "two"]
+
+
 def test_commands(engine):
     ask = lambda *a: cli.run(engine, cli.parser().parse_args(a))
     assert ask("callers", "work", "--exact-only")[0]["path"]
