@@ -10,6 +10,7 @@ on any file system that it knows, through its commit protocol.
 from __future__ import annotations
 
 import gzip
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,8 +21,10 @@ from graphloom.llm.common import new_path, utf8, written
 
 #: Payloads with fewer bytes are always written.
 LEAST_BYTES = 100
-#: Records of one archive file; it bounds what a reader holds at a time.
+#: Records of one archive file, which is one cell, compressed, where it is read.
 RECORDS_PER_FILE = 512
+#: Bytes of payloads that a reader hands on together.
+BATCH_BYTES = 16 << 20
 #: A record ends with two line ends; Spark's text writer adds them.
 RECORD_END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -56,8 +59,8 @@ def header_lines(fields: list[tuple[str, Column]]) -> Column:
 def write(pages: DataFrame, path: str, date: str, id: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST_BYTES) -> None:
     """Write one WARC record per row of ``pages`` to ``path``.
 
-    A null payload is empty. Line ends and blanks in an URL are percent-encoded, so that no
-    value can break a header; without an URL the target is a URN made of the id. Repeated rows
+    A null payload is empty. Identifiers and, in an URL, line ends and blanks are
+    percent-encoded, so that no value can break a header; without an URL the target is a URN made of the id. Repeated rows
     are written as often as they occur.
     """
     body = F.coalesce(F.col(payload), F.lit(""))
@@ -77,8 +80,9 @@ def write(pages: DataFrame, path: str, date: str, id: str = "page_id", url: str
         ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         ("WARC-Refers-To", F.when(revisit, record_id(F.col("refers_to"), F.col("digest")))),
         ("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
-        ("X-Row-ID", F.col("id")),
-        ("X-Refers-To-Row-ID", F.col("refers_to")),
+        ("WARC-Refers-To-Date", F.when(revisit, F.lit(date))),
+        ("X-Row-ID", F.url_encode(F.col("id").cast("string"))),
+        ("X-Refers-To-Row-ID", F.url_encode(F.col("refers_to").cast("string"))),
         ("Content-Type", F.lit("application/http; msgtype=response")),
         ("Content-Length", length),
     ]
@@ -86,23 +90,27 @@ def write(pages: DataFrame, path: str, date: str, id: str = "page_id", url: str
     rows.select(record.alias("value")).write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
-def parse(content: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
-    """The records of one archive, compressed or not: headers and block. Lengths delimit them."""
+def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records of one archive, compressed or not: headers and block. Lengths delimit them.
+
+    The archive is unpacked as it is read, so one record at a time is held.
+    """
+    stream = io.BytesIO(content)
     if content[:2] == b"\x1f\x8b":
-        content = gzip.decompress(content)
-    at, view = 0, memoryview(content)
-    while at < len(content):
-        end = content.index(b"\r\n\r\n", at)
-        lines = content[at:end].decode("utf-8").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = dict(x.split(": ", 1) for x in lines[1:])
-        start = end + 4
-        stop = start + int(headers["Content-Length"])
-        if content[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} does not end where it says")
-        yield headers, view[start:stop]
-        at = stop + 4
+        stream = io.BufferedReader(gzip.GzipFile(fileobj=stream), 1 << 16)
+    number = 0
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"record {number} is no WARC record")
+        headers = {}
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            name, value = line.decode("utf-8").removesuffix("\r\n").split(": ", 1)
+            headers[name] = value
+        block = stream.read(int(headers["Content-Length"]))
+        if stream.read(4) != RECORD_END.encode():
+            raise ValueError(f"record {number} does not end where it says")
+        yield headers, block
+        number += 1
 
 
 def read(spark: SparkSession, path: str, id_type: str = "long", payloads: bool = True) -> DataFrame:
@@ -117,24 +125,31 @@ def read(spark: SparkSession, path: str, id_type: str = "long", payloads: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
+        def frame(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) or [()] * (10 + payloads)
+            kinds = [pa.string()] * 7 + [pa.int64()] * 2 + [pa.string()] + [pa.binary()] * payloads
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
         for batch in batches:
             for cell in batch.column(0):
-                rows = []
-                for h, block in parse(cell.as_buffer().to_pybytes()):
-                    raw = bytes(block)
+                rows, held = [], 0
+                for h, raw in parse(cell.as_buffer().to_pybytes()):
                     cut = raw.index(b"\r\n\r\n") + 4
                     said = next(int(x.split(b":")[1]) for x in raw[:cut].split(b"\r\n") if x.lower().startswith(b"content-length:"))
                     body = raw[cut:] if h["WARC-Type"] == "response" else None
-                    row = [h.get("X-Row-ID"), h["WARC-Target-URI"], h["WARC-Type"], h["WARC-Record-ID"], h.get("WARC-Refers-To"), h["WARC-Payload-Digest"].removeprefix("sha256:"), h.get("X-Refers-To-Row-ID"), said, None if body is None else len(body), None if body is None else hashlib.sha256(body).hexdigest()]
+                    row = (h.get("X-Row-ID"), h["WARC-Target-URI"], h["WARC-Type"], h["WARC-Record-ID"], h.get("WARC-Refers-To"), h["WARC-Payload-Digest"].removeprefix("sha256:"), h.get("X-Refers-To-Row-ID"), said, None if body is None else len(body), None if body is None else hashlib.sha256(body).hexdigest())
                     rows.append((*row, body) if payloads else row)
-                columns = list(zip(*rows, strict=True)) or [()] * (10 + payloads)
-                kinds = [pa.string()] * 7 + [pa.int64()] * 2 + [pa.string()] + [pa.binary()] * payloads
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                    held += len(raw) if payloads else 0
+                    if held > BATCH_BYTES:
+                        yield frame(rows)
+                        rows, held = [], 0
+                yield frame(rows)
 
     names = ["id", "url", "record_type", "record_id", "refers_to_record", "digest", "refers_to", "http_bytes", "payload_bytes", "computed"] + ["payload"] * payloads
     schema = ", ".join(f"{n} {'long' if n.endswith('bytes') else 'binary' if n == 'payload' else 'string'}" for n in names)
     got = files.mapInArrow(run, schema)
-    return got.withColumn("id", F.col("id").cast(id_type)).withColumn("refers_to", F.col("refers_to").cast(id_type))
+    own = lambda c: F.url_decode(c).cast(id_type)
+    return got.withColumn("id", own("id")).withColumn("refers_to", own("refers_to"))
 
 
 def round_trip(pages: DataFrame, id: str = "page_id", url: str = "url", payload: str = "html", date: str = "2000-01-01T00:00:00Z") -> DataFrame:

@@ -50,3 +50,10 @@ def test_payloads_and_ids(spark):
 
 def test_empty(spark):
     assert round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_ids_of_any_text(spark):
+    ids = ["a\r\nX-Row-ID: b", " % +é", "", "x" * 300]
+    pages = spark.createDataFrame([(i, "u", "t" * 120) for i in ids], "page_id string, url string, html string")
+    got = {r.page_id: r.refers_to for r in round_trip(pages).collect()}
+    assert got == {i: None if i == min(ids) else min(ids) for i in ids}
