@@ -3,7 +3,7 @@ from collections import Counter
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from graphloom.llm.rules import quality_rules
+from graphloom.llm.rules import measures, quality_rules
 
 SCHEMA = "doc_id long, text string, n_words long"
 
@@ -47,3 +47,9 @@ def test_clean_text_is_kept(spark):
     text = "The cat sat on the mat and then it went to the other side of the old house."
     row = quality_rules(spark.createDataFrame([(None, text, 1), (None, text, 1)], SCHEMA)).collect()
     assert [r.kept for r in row] == [True, True]
+
+
+def test_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "a a b", 7, "x", 0.5)], "doc_id long, text string, N_words long, _q_words string, symbol_ratio double")
+    row = measures(rows).first()
+    assert (row.doc_id, row.n_words, row._q_words, row.symbol_ratio) == (1, 3, "x", 0.0)
