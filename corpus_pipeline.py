@@ -2,6 +2,9 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as
 the next stage's docs. All but the last return the columns of ``documents``.
+
+Every stage takes null ids and null, empty or very long texts, repeated rows, further columns of
+any name and empty tables; the operators' docstrings say what comes of each.
 """
 
 from __future__ import annotations
@@ -15,14 +18,12 @@ from graphloom.llm.queries import table, vocabulary
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    got = ftrl_quality.classify(docs, table(spark, sf_dir, "labels"), keep=docs.columns)
-    return got.where("predicted = 1").select(*docs.columns)
+    return ftrl_quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject."""
-    got = toxicity.classify(docs, table(spark, sf_dir, "labels"), keep=docs.columns)
-    return got.where("predicted = 0").select(*docs.columns)
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

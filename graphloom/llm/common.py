@@ -85,6 +85,13 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def unused(df: DataFrame, prefix: str) -> str:
+    """``prefix``, led by as many underscores as it takes for no column of ``df`` to begin with it."""
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def utf8(text: Column) -> Column:
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")
 
@@ -117,7 +124,8 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, ou
     """Add ``out``: the sum of ``value`` over the rows before this one in its group.
 
     Like :func:`row_rank`, the order is that of (hash bucket, ``order``), so no group has to
-    fit into one task.
+    fit into one task. A row with a null key belongs to no group and is left out;
+    null values add nothing.
     """
     dealt = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     sums = dealt.groupBy(*keys, "_b").agg(F.sum(value).alias("_n"))

@@ -10,14 +10,15 @@ size, whatever the corpus.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from graphloom.llm.bpe import slices
+from graphloom.llm.bpe import TOGETHER, slices
 from graphloom.llm.common import own_table, small_batches
 
 #: Weights: 2 ** BITS.
@@ -114,13 +115,20 @@ def held_out(id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.encode(id.cast("string"), "UTF-8")), F.lit(folds)) == fold, F.lit(False))
 
 
+def known_labels(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, id: str) -> DataFrame:
+    """The labels (id, label) of ids that ``docs`` has and that are not held out; an id with several has a row each."""
+    known = labels.select(F.col(id).alias("id"), F.col(label).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)").where(~held_out(F.col("id"), folds, fold))
+    return known.join(docs.select(F.col(id).alias("id")), "id", "left_semi")
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, rows: int, id: str, text: str) -> DataFrame:
     """At most ``rows`` labelled texts (text, label) that are not held out.
 
-    Labels are chosen first, by the least hash of their ids, so the side that is sent to the
-    scan has at most ``rows`` rows. Of an id with several labels or texts, the least are taken.
+    Labels are chosen first, among those of ids that ``docs`` has, by the least hash of the id, so
+    the side that is sent to the scan has at most ``rows`` rows and labels of other documents take
+    no room. Of an id with several labels or texts, the least are taken.
     """
-    known = labels.select(F.col(id).alias("id"), F.col(label).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)").where(~held_out(F.col("id"), folds, fold))
+    known = known_labels(docs, labels, label, folds, fold, id)
     known = known.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(rows)
     texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     return texts.join(F.broadcast(known), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
@@ -157,30 +165,48 @@ def score_texts(model: tuple[np.ndarray, float], texts: list[str | None]) -> lis
     return out
 
 
-def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, rows: int = TRAIN_ROWS, id: str = "doc_id", text: str = "text", label: str = "quality", keep: list[str] | None = None) -> DataFrame:
+def scored(docs: DataFrame, score: Callable[[list[str | None]], Sequence[float]], text: str, back: list[str], together: int = TOGETHER) -> DataFrame:
+    """(doc, score): the columns ``back`` of each row as one struct, so that no name can clash,
+    and the score of its text."""
+    at = [docs.columns.index(c) for c in back]
+    kept = T.StructType([docs.schema[i] for i in at])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = batch.column(0).flatten()
+            texts = columns[docs_text]
+            for a, b in slices(texts, together):
+                part = pa.StructArray.from_arrays([columns[i].slice(a, b - a) for i in at], kept.names)
+                yield pa.RecordBatch.from_arrays([part, pa.array(score(texts.slice(a, b - a).to_pylist()), pa.float64())], ["doc", "score"])
+
+    docs_text = docs.columns.index(text)
+    schema = T.StructType([T.StructField("doc", kept), T.StructField("score", T.DoubleType())])
+    return docs.select(F.struct("*").alias("doc")).mapInArrow(run, schema)
+
+
+def report(docs: DataFrame, score: Callable[[list[str | None]], Sequence[float]], folds: int, fold: int, id: str, text: str, together: int = TOGETHER) -> DataFrame:
+    """id, held_out, score and predicted of every row."""
+    got = scored(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), score, "text", ["id"], together)
+    return got.select(F.col("doc.id").alias(id), held_out(F.col("doc.id"), folds, fold).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def model_scores(docs: DataFrame, labels: DataFrame, folds: int, fold: int, rows: int, id: str, text: str, label: str) -> Callable[[list[str | None]], list[float]]:
+    """What scores texts in the tasks, by a model learned from ``docs`` and ``labels``."""
+    sent = docs.sparkSession.sparkContext.broadcast(learn(small_batches(docs), labels, folds, fold, rows, id, text, label))
+    return lambda texts: score_texts(sent.value, texts)
+
+
+def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, rows: int = TRAIN_ROWS, id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """Score every whole text: id, held_out, score, predicted (1 if score >= 0.3).
 
-    ``keep`` names columns of ``docs`` to carry through instead of the id; they are not called
-    held_out, score or predicted. A null text counts
-    as empty; empty texts share one feature and get its score. Null ids are scored and never
-    learned from. Labels outside 0 and 1 are not learned. Repeated rows are scored repeatedly.
+    A null text counts as empty; empty texts share one feature and get its score. Null ids are
+    scored and never learned from. Labels outside 0 and 1 are not learned, nor are labels of ids
+    that ``docs`` lacks. Repeated rows are scored repeatedly. Other columns are not read.
     """
-    model = learn(small_batches(docs), labels, folds, fold, rows, id, text, label)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    carried = keep or [id]
-    others = [c for c in carried if c != text]
-    kinds = dict(docs.dtypes)
-    names = ["_text"] * (text in carried) + [f"_{i}" for i in range(len(others))]
-    schema = ", ".join(f"{n} {kinds[c]}" for n, c in zip(names, [text] * (text in carried) + others, strict=True)) + ", score double"
+    return report(docs, model_scores(docs, labels, folds, fold, rows, id, text, label), folds, fold, id, text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in slices(batch.column(0)):
-                part = batch.slice(a, b - a)
-                s = score_texts(sent.value, part.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[text not in carried :], pa.array(s, pa.float64())], [*names, "score"])
 
-    got = docs.select(F.col(text).alias("_text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(others)]).mapInArrow(run, schema)
-    own = {c: F.col(f"_{i}") for i, c in enumerate(others)} | {text: F.col("_text")}
-    out = held_out(own[id], folds, fold) if id in carried else F.lit(None).cast("boolean")
-    return got.select(*[own[c].alias(c) for c in carried], out.alias("held_out"), F.col("score"), (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+def accepted(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, rows: int = TRAIN_ROWS, id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """The rows of ``docs`` that :func:`classify` predicts 1 for, with all their columns, whatever
+    these are called. Edge cases are those of classify."""
+    return scored(docs, model_scores(docs, labels, folds, fold, rows, id, text, label), text, docs.columns).where(F.col("score") >= THRESHOLD).select("doc.*")

@@ -38,9 +38,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphloom.llm.bpe import slices
-from graphloom.llm.common import components, own_table, row_rank, small_batches, spent, written
+from graphloom.llm.common import components, own_table, row_rank, small_batches, spent, unused, written
 
 #: Ratio between the ends of a size band.
 BAND = 1.2
@@ -549,14 +550,9 @@ def first_of_groups(docs: DataFrame, words: int = 5, percent: int = 80, id: str
     got = grouped(docs, words, percent, id, text)
     lonely = got.where("n_shingles = 0").select(id, "mark").distinct()
     lead = got.where("n_shingles > 0").where(F.col(id).eqNullSafe(F.col("component_id"))).groupBy("comp").agg(F.min(F.struct(F.col(id), F.col("mark"))).alias("one")).select("one.*")
-    stay = written(lead.select(F.col(id).alias("_id"), F.col("mark").alias("_mark"), F.lit(True).alias("_once")).union(lonely.select(id, "mark", F.lit(False))), "stay")
-    marked = docs.withColumn("_m", F.xxhash64(F.col(text)))
-    rows = marked.join(stay, F.col(id).eqNullSafe(F.col("_id")) & (F.col("_m") == F.col("_mark")))
-    again = F.row_number().over(_same(id))
-    return rows.withColumn("_again", again).where(~F.col("_once") | (F.col("_again") == 1)).select(*docs.columns)
-
-
-def _same(id: str):
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy(id, "_m").orderBy(F.lit(0))
+    q = unused(docs, "_q")
+    stay = written(lead.select(F.col(id).alias(f"{q}_id"), F.col("mark").alias(f"{q}_mark"), F.lit(True).alias(f"{q}_once")).union(lonely.select(id, "mark", F.lit(False))), "stay")
+    marked = docs.withColumn(f"{q}_own", F.xxhash64(F.col(text)))
+    rows = marked.join(stay, F.col(id).eqNullSafe(F.col(f"{q}_id")) & (F.col(f"{q}_own") == F.col(f"{q}_mark")))
+    again = F.row_number().over(Window.partitionBy(id, f"{q}_own").orderBy(F.lit(0)))
+    return rows.withColumn(f"{q}_again", again).where(~F.col(f"{q}_once") | (F.col(f"{q}_again") == 1)).select(*docs.columns)

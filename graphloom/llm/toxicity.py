@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import slices
 from graphloom.llm.common import own_table, small_batches
-from graphloom.llm.ftrl_quality import held_out
+from graphloom.llm.ftrl_quality import known_labels, report, scored
 
 #: Rows of the embedding table: 2 ** BITS; row 0 stands for the space beyond a text.
 BITS = 18
@@ -228,9 +228,9 @@ def fit(texts: list[np.ndarray], languages: np.ndarray, labels: np.ndarray, epoc
 
 
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, rows: int = TRAIN_ROWS, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Fit on at most ``rows`` labelled texts of each class that are not held out."""
-    known = labels.select(F.col(id).alias("id"), F.col(label).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)").where(~held_out(F.col("id"), folds, fold))
-    known = known.groupBy("id").agg(F.max("label").alias("label"))
+    """Fit on at most ``rows`` labelled texts of each class that are not held out, of ids that
+    ``docs`` has."""
+    known = known_labels(docs, labels, label, folds, fold, id).groupBy("id").agg(F.max("label").alias("label"))
     least = lambda y: known.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(rows)
     chosen = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(least(0).union(least(1))), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
     chosen = chosen.select("id", "text", "label")
@@ -252,29 +252,23 @@ def score_texts(m: Model, texts: list[str | None]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -35, 35)))
 
 
-def classify(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, rows: int = TRAIN_ROWS, id: str = "doc_id", text: str = "text", label: str = "toxic", keep: list[str] | None = None) -> DataFrame:
+def model_scores(docs: DataFrame, labels: DataFrame, folds: int, fold: int, rows: int, id: str, text: str, label: str) -> Callable[[list[str | None]], np.ndarray]:
+    """What scores texts in the tasks, by a model learned from ``docs`` and ``labels``."""
+    sent = docs.sparkSession.sparkContext.broadcast(learn(small_batches(docs), labels, folds, fold, rows, id, text, label))
+    return lambda texts: score_texts(sent.value, texts)
+
+
+def classify(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, rows: int = TRAIN_ROWS, id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """Score every whole text: id, held_out, score, predicted (1 if score >= 0.3).
 
-    ``keep`` names columns of ``docs`` to carry through instead of the id; they are not called
-    held_out, score or predicted. A null text counts
-    as empty; an empty text has no word and gets the score of one. Null ids are scored and
-    never learned from. Repeated rows are scored repeatedly.
+    A null text counts as empty; an empty text has no word and gets the score of one. Null ids
+    are scored and never learned from. Labels outside 0 and 1 are not learned, nor are labels of
+    ids that ``docs`` lacks. Repeated rows are scored repeatedly. Other columns are not read.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(learn(small_batches(docs), labels, folds, fold, rows, id, text, label))
-    carried = keep or [id]
-    others = [c for c in carried if c != text]
-    kinds = dict(docs.dtypes)
-    names = ["_text"] * (text in carried) + [f"_{i}" for i in range(len(others))]
-    schema = ", ".join(f"{n} {kinds[c]}" for n, c in zip(names, [text] * (text in carried) + others, strict=True)) + ", score double"
+    return report(docs, model_scores(docs, labels, folds, fold, rows, id, text, label), folds, fold, id, text, TOGETHER)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in slices(batch.column(0), TOGETHER):
-                part = batch.slice(a, b - a)
-                s = score_texts(sent.value, part.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[text not in carried :], pa.array(s, pa.float64())], [*names, "score"])
 
-    got = docs.select(F.col(text).alias("_text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(others)]).mapInArrow(run, schema)
-    own = {c: F.col(f"_{i}") for i, c in enumerate(others)} | {text: F.col("_text")}
-    out = held_out(own[id], folds, fold) if id in carried else F.lit(None).cast("boolean")
-    return got.select(*[own[c].alias(c) for c in carried], out.alias("held_out"), F.col("score"), (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+def clean(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, rows: int = TRAIN_ROWS, id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """The rows of ``docs`` that :func:`classify` predicts 0 for, with all their columns, whatever
+    these are called. Edge cases are those of classify."""
+    return scored(docs, model_scores(docs, labels, folds, fold, rows, id, text, label), text, docs.columns, TOGETHER).where(F.col("score") < THRESHOLD).select("doc.*")

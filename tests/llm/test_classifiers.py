@@ -45,6 +45,23 @@ def test_edges(spark, module, label):
     assert module.classify(docs.limit(0), marks).count() == 0
 
 
+@pytest.mark.parametrize(("module", "label", "choose"), [(ftrl_quality, "quality", ftrl_quality.accepted), (toxicity, "toxic", toxicity.clean)])
+def test_labels_of_other_documents_take_no_room(spark, module, label, choose):
+    # With room for 20 labels (of each class), 500 labels of absent ids may not crowd out ours.
+    texts = [("good calm words here" if i % 2 else "BAD!! vile AWFUL!! rubbish") + f" {i % 7}" for i in range(200)]
+    docs = spark.createDataFrame([(i, t, 9, "x") for i, t in enumerate(texts)], "doc_id long, text string, predicted int, doc string")
+    kind = lambda i: i % 2 if label == "quality" else 1 - i % 2
+    marks = spark.createDataFrame([(i, kind(i)) for i in [*range(200), *range(1000, 1500)]], f"doc_id long, {label} int")
+    if module is ftrl_quality:
+        assert ftrl_quality.sample(docs, marks, label, 5, 0, 20, "doc_id", "text").count() == 20
+    got = module.classify(docs, marks, rows=20).collect()
+    assert np.mean([r.predicted == kind(r.doc_id) for r in got]) > 0.95
+    kept = choose(docs, marks, rows=20)
+    assert kept.columns == docs.columns
+    wanted = {r.doc_id for r in got if r.predicted == (1 if label == "quality" else 0)}
+    assert {tuple(r) for r in kept.collect()} == {(i, texts[i], 9, "x") for i in wanted}
+
+
 def test_best_limit():
     s, y = np.array([0.1, 0.2, 0.8, 0.9]), np.array([0, 0, 1, 1])
     assert 0.2 < toxicity.best_limit(s, y) < 0.8
