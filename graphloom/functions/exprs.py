@@ -102,12 +102,18 @@ def is_external_module(module: Column | str = "module") -> Column:
 
 
 #: Words of the file ranking (fixed values).
-LOW_PRIORITY_DIRS = "legacy admin deprecated demo demos mock mocks fake fakes seed seeds noise test tests __tests__ fixture fixtures docs doc examples example benchmark benches generated".split()
-HARD_DECOY_DIRS = "legacy admin deprecated demo demos mock mocks fake fakes seed seeds noise".split()
-HARD_DECOY_ROOTS = [*HARD_DECOY_DIRS, "cli", "docs"]
-DECOY_ROOTS = "legacy admin cli docs demo mock noise".split()
-COMMON_BASENAMES = "util utils helper helpers common config constants types index logger log metrics metric cache queue repo repository handler handlers registry manager service services".split()
-BARREL_STEMS = "index main mod".split()
+LOW_PRIORITY_DIRS = (
+    "legacy", "admin", "deprecated", "demo", "demos", "mock", "mocks", "fake", "fakes", "seed", "seeds", "noise", "test", "tests",
+    "__tests__", "fixture", "fixtures", "docs", "doc", "examples", "example", "benchmark", "benches", "generated",
+)
+HARD_DECOY_DIRS = ("legacy", "admin", "deprecated", "demo", "demos", "mock", "mocks", "fake", "fakes", "seed", "seeds", "noise")
+HARD_DECOY_ROOTS = (*HARD_DECOY_DIRS, "cli", "docs")
+DECOY_ROOTS = ("legacy", "admin", "cli", "docs", "demo", "mock", "noise")
+COMMON_BASENAMES = (
+    "util", "utils", "helper", "helpers", "common", "config", "constants", "types", "index", "logger", "log", "metrics", "metric", "cache",
+    "queue", "repo", "repository", "handler", "handlers", "registry", "manager", "service", "services",
+)
+BARREL_STEMS = ("index", "main", "mod")
 ROLE_SCORES = {"call": 12.0, "import": 12.0, "registration": 10.0, "define": 8.0, "implementor": 3.0, "dynamic": 1.0}
 
 

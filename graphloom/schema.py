@@ -47,10 +47,14 @@ UNSOUND_RULES = ("py.di.entry_points", "rs.di.dyn_trait_method")
 SOUND_RULES = tuple(r for r in (*IMPLEMENTOR_RULES, *REGISTRATION_RULES) if r not in UNSOUND_RULES)
 
 #: Names that occur everywhere (fixed values).
-HIGH_FREQUENCY = "fmt debug clone drop default eq hash new into from as_ref to_string get set call execute run handle".split()
+HIGH_FREQUENCY = (
+    "fmt", "debug", "clone", "drop", "default", "eq", "hash", "new", "into", "from", "as_ref", "to_string", "get", "set", "call", "execute",
+    "run", "handle",
+)
 HIGH_FREQUENCY_CAP = 20
+#: Kinds that an enrichment describes (fixed values).
 DESCRIBED_KINDS = ("function", "method", "class", "struct", "trait", "interface")
 
-#: Directories that a source walk skips, and the largest file that it takes.
+#: Directories that a source walk skips, and the largest file that it takes (fixed values).
 SKIPPED_DIRS = ("node_modules", "target", "dist", "build", "vendor", ".venv", "__pycache__", ".git", "third_party", "testdata")
 MAX_FILE_BYTES = 1_500_000
