@@ -24,7 +24,8 @@ How the data move:
 - Sets are moved for candidate pairs only: first each class with its best partner, then the
   pairs that are still in different components.
 - Groups that were too large to pair are compared by their histograms, in blocks, wherever
-  they still span several components. So no link between different texts is lost.
+  they still span several components. So no link between different texts is lost. Those that
+  overlap are compared as one, so that a pair is looked at once and not in each of them.
 """
 
 from __future__ import annotations
@@ -455,6 +456,35 @@ def large_pairs(members: DataFrame, classes: DataFrame, comps: DataFrame, percen
     return rows.groupBy("g", "p", "q").applyInArrow(run, "g long, a long, b long")
 
 
+def compared(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The pairs that :func:`large_pairs` looks at in each group of ``rows`` (by, key, comp)."""
+    sizes = rows.groupBy(*by, "comp").agg(F.count(F.lit(1)).alias("c")).groupBy(*by).agg(F.max("c").alias("lead"), (F.sum("c") - F.max("c")).alias("rest"))
+    return sizes.select(*by, F.expr("rest * lead + rest * (rest - 1) div 2").alias("cost"))
+
+
+def families(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members (g, key) of fewer large groups, in which all pairs of the groups ``members`` meet
+    that lie in different components.
+
+    Near copies share most of their signatures, so the same pair lies in hundreds of groups. Groups
+    that overlap, directly or by others, form a family, and in it a pair lies once. A family takes
+    the place of its groups where that gives no more pairs to look at; the others stay as they are.
+    """
+    rows = written(labelled(members, comps, "key", "comp"), "members")
+    mixed = rows.groupBy("g").agg(F.min("key").alias("first"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    mixed = written(mixed.select("g", "first"), "mixed")
+    family = components(rows.join(mixed, "g").select(F.col("first").alias("a"), F.col("key").alias("b")))
+    family_of = mixed.join(family.select(F.col("node").alias("first"), F.col("comp").alias("f")), "first").select("g", "f")
+    each = written(rows.join(family_of, "g").select("f", "g", "key", "comp"), "members")
+    whole = written(each.select("f", "key", "comp").distinct(), "families")
+    apiece = compared(each, ["f", "g"]).groupBy("f").agg(F.sum("cost").alias("apiece"))
+    chosen = written(compared(whole, ["f"]).join(apiece, "f").where("cost <= apiece").select("f"), "chosen")
+    out = whole.join(chosen, "f", "left_semi").select(F.col("f").alias("g"), "key").union(each.join(chosen, "f", "left_anti").select("g", "key"))
+    out = written(out, "groups")
+    spent(rows, mixed, family, each, whole, chosen)
+    return out
+
+
 def joined(similar: DataFrame, comps: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All similar pairs and their components, after ``new`` ones; the old tables are deleted."""
     grown = written(similar.union(new), "similar")
@@ -513,6 +543,10 @@ def grouped(docs: DataFrame, words: int, percent: int, id: str, text: str) -> Da
     # Few pairs merge most components; what they leave apart is then compared in full.
     nearest, turn = True, 0
     while not members.isEmpty():
+        if turn == 1:  # the groups without a plausible pair, which chain the others, are gone
+            fewer = families(members, comps)
+            spent(members)
+            members = fewer
         found = written(large_pairs(members, classes, comps, percent, nearest), "found")
         more = written(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "more")
         merged = False

@@ -135,3 +135,47 @@ def test_first_of_groups_tells_groups_from_ids(spark):
     assert ids == [3, 3, None, None]
     assert {s for i, s in got if i is None} == {sets(a, 5), sets(b, 5)}
     assert sets(c, 5) in [s for i, s in got if i == 3]
+
+
+def test_families_keep_all_pairs(spark):
+    rng = random.Random(4)
+    groups = {g: rng.sample(range(100, 130), 12) for g in range(20)}  # they overlap: one family
+    groups |= {50 + g: list(range(1000 + 9 * g, 1010 + 9 * g)) for g in range(12)}  # a chain: its groups are cheaper
+    groups[90] = [2000, 2001, 2002]  # one component
+    comp = {k: k - k % 2 for ks in groups.values() for k in ks if k < 2000} | {2001: 2000, 2002: 2000}
+    members = spark.createDataFrame([(g, k) for g, ks in groups.items() for k in ks], "g long, key long")
+    comps = spark.createDataFrame([(k, c) for k, c in comp.items() if rng.random() < 0.9 or k != c], "node long, comp long")
+    got = {}
+    for g, k in jaccard.families(members, comps).collect():
+        got.setdefault(g, []).append(k)
+
+    def pairs(sets):
+        return [(a, b) for ks in sets for a in ks for b in ks if a < b and comp.get(a, a) != comp.get(b, b)]
+
+    before, after = pairs(groups.values()), pairs(got.values())
+    assert set(before) <= set(after) and len(after) < len(before)
+    assert sum(max(ks) < 1000 for ks in got.values()) == 1 and sum(1000 <= min(ks) < 2000 for ks in got.values()) == 12 and len(got) == 13
+    assert len(pairs(ks for ks in got.values() if max(ks) < 1000)) == len(set(pairs(ks for ks in got.values() if max(ks) < 1000)))
+
+
+def test_pairs_of_overlapping_groups_are_found_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FEW", 2)
+    counts, write = [], jaccard.written
+
+    def watched(df, name):
+        table = write(df, name)
+        if name == "found":
+            counts.append((table.count(), table.select("a", "b").distinct().count()))
+        return table
+
+    monkeypatch.setattr(jaccard, "written", watched)
+    rng = random.Random(5)
+    base, texts = [f"w{i}" for i in range(400)], []
+    for i in range(30):  # nearly similar to each other, with many signatures in common
+        t = list(base)
+        for at in rng.sample(range(400), 6):
+            t[at] = f"new{i}"
+        texts.append(" ".join(t))
+    texts.append(" ".join([*texts[3].split(), "end"]))
+    check(spark, list(enumerate(texts)), 5, 80)
+    assert len(counts) > 2 and counts[-1][0] == counts[-1][1] > 0
