@@ -2,30 +2,55 @@
 
 The walk is by levels: the driver loops over depths, never over rows. Per level one join
 finds the refs of the frontier, and windows reproduce first-in first-out order, which decides
-both the language gate and the limit. Visited names and places are anti-joined; each level is
-checkpointed in the shared folder, so plans do not grow.
+both the language gate and the limit. Visited names are anti-joined; each level but the last is
+a table in the shared folder, so plans do not grow.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.functions import exprs as e
-from graphloom.operators.lookup import PLACE, in_root, matches, top
-from graphloom.session import cut
+from graphloom.operators.lookup import PLACE, in_root, keyed, matches, top
+from graphloom.session import cut, written
 
 COLUMNS = ("query", "depth", "name", "kind", "path", "line", "root_id", "enclosing", "resolved", "confidence", "rule_id")
 
 
-def gate_names(symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """Names that a walk may enter, by language. Files are joined on the path alone, so a like
-    path in another root opens the gate too; ``language`` null stands for any."""
+def doors(edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """The names that a walk can come to: those asked for, and those that an edge leads on to."""
+    start = asked.select(F.col("query").alias("name"), F.lit(True).alias("asked"), F.lit(False).alias("entered"))
+    on = edges.where("leaf <> ''").select(F.col("leaf").alias("name"), F.lit(False).alias("asked"), F.lit(True).alias("entered"))
+    return start.unionByName(on).groupBy("name").agg(F.max("asked").alias("asked"), F.max("entered").alias("entered"))
+
+
+def gate_languages(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """name, spoken: the languages of the files that define a name. Files are joined on the path
+    alone, so a like path in another root opens the gate too."""
     by_path = files.select("path", "language").distinct()
-    named = symbols.select("name", "path").distinct()
-    typed = named.join(by_path, "path").select(F.col("name").alias("leaf"), "language").distinct()
-    return typed.unionByName(named.select(F.col("name").alias("leaf"), F.lit(None).cast("string").alias("language")).distinct())
+    return symbols.select("name", "path").join(by_path, "path", "left").groupBy("name").agg(F.collect_set("language").alias("spoken"))
+
+
+def placed(edges: DataFrame, limit: int) -> DataFrame:
+    """Of each name the first edge of each of its first ``limit`` places, numbered from 1 by ``n``.
+
+    A place is a line of a file. Its edges follow each other in the canonical order, so a rank of
+    places is enough, and Spark cuts by that rank before it shuffles: the refs of a very common
+    name do not meet in one task. One shuffle by name serves all windows here.
+    """
+    by_place = ["root_id", "path", "line"]
+    got = edges.withColumn("n", F.dense_rank().over(Window.partitionBy("name").orderBy(*by_place))).where(F.col("n") <= limit)
+    return top(got, ["name", *by_place], [F.col(c) for c in PLACE[4:]], 1, "_first").drop("_first").withColumn("n", F.col("n").cast("long"))
+
+
+def onward(hits: DataFrame, by: str) -> DataFrame:
+    """Add ``left`` (the room after these hits of a query) and ``first`` (the first of its leaf)."""
+    left = F.col("room") - F.count(F.lit(1)).over(Window.partitionBy(by))
+    return hits.withColumn("left", left).withColumn("first", F.row_number().over(Window.partitionBy(by, "leaf").orderBy("at")) == 1)
 
 
 def impact(refs: DataFrame, symbols: DataFrame, files: DataFrame, queries: DataFrame, depth: int = 2, limit: int = 100, window: str = "default", roots: list[str] | None = None, sound: bool = False, gated: bool = True) -> DataFrame:
@@ -33,47 +58,59 @@ def impact(refs: DataFrame, symbols: DataFrame, files: DataFrame, queries: DataF
 
     A name is marked visited before the gate is asked, so a name first met from a file of
     another language stays closed. The limit counts emitted rows of a query: rows beyond it are
-    dropped level by level, and a query that is full leaves the walk. Each level keeps the first
-    ``limit`` rows of a query by a rank that Spark cuts before it shuffles, so the refs of a very
-    common name do not meet in one task.
+    dropped level by level, and a query that is full leaves the walk.
+
+    Which edges of a name count, and in what order, is the same for every query, so that is
+    settled once in a table of steps. For queries of a bare name the first level is a part of
+    this table. Later levels join the narrow frontier with the steps whose name an edge leads on
+    to, and shuffle the hits once, by query. A place can only be met twice by a qualified
+    query, whose first hits have another name than the query; the others need no check.
     """
-    edges = in_root(refs.where(e.is_sound() if sound else e.in_window(window)), roots)
+    edges = in_root(refs.where(e.is_sound() if sound else e.in_window(window)), roots).withColumn("leaf", e.last_segment("enclosing"))
+    base = keyed(queries.select("query").distinct())
+    bare, dotted = base.where("dotted IS NULL").select("query"), base.where("dotted IS NOT NULL").select("query")
+    names = doors(edges, bare)
+    edges = edges.select("name", "kind", "path", "line", "root_id", "enclosing", "resolved", "confidence", "rule_id", "qualifier", "qual_name", "leaf")
     one_language = files.groupBy("path").agg(F.min("language").alias("cited"))
     edges = edges.join(one_language, "path", "left") if gated else edges.withColumn("cited", F.lit(None).cast("string"))
-    open_names = cut(gate_names(symbols, files)) if gated else None
-    base = queries.select("query").distinct()
-    visited = base.select("query", F.col("query").alias("leaf"))
-    frontier = base.select("query", F.col("query").alias("leaf"), F.lit(1).cast("long").alias("ord"), F.lit(limit).cast("long").alias("room"))
-    seen = out = None
-    for level in range(1, depth + 1):
-        if level == 1:
-            hits = matches(edges, base).withColumn("ord", F.lit(1).cast("long")).withColumn("room", F.lit(limit).cast("long"))
-        else:
-            hits = frontier.join(edges, F.col("leaf") == F.col("name")).drop("leaf")
-        order = [F.col("ord"), *[F.col(c) for c in PLACE]]
-        place = ["query", "root_id", "name", "line", "path"]
-        hits = top(hits, place, order, 1, "_first").drop("_first")
+    steps = placed(edges.drop("qualifier", "qual_name"), limit).join(names, "name")
+    steps = steps.join(gate_languages(symbols, files), "name", "left") if gated else steps.withColumn("spoken", F.lit(None).cast("array<string>"))
+    steps = onward(steps.withColumn("at", F.col("n")).withColumn("room", F.lit(limit).cast("long")), "name")
+    steps = written(steps, "steps")
+    kept = [*COLUMNS, "cited", "leaf", "at", "room", "left", "first"]
+    levels = [steps.where("asked").withColumn("query", F.col("name")).withColumn("depth", F.lit(1)).select(*kept)]
+    place, seen = ["query", "root_id", "name", "line", "path"], None
+    if not dotted.isEmpty():
+        order = [F.col(c) for c in PLACE]
+        hits = top(matches(edges, dotted), place, order, 1, "_first").drop("_first")
+        hits = top(hits, ["query"], order, limit, "at").withColumn("at", F.col("at").cast("long")).withColumn("room", F.lit(limit).cast("long"))
+        hits = written(onward(hits, "query").withColumn("depth", F.lit(1)).select(*kept), "hits")
+        levels[0] = levels[0].unionByName(hits)
+        seen = hits.select(*place)
+    ahead = steps.where("entered").select(*[c for c in COLUMNS if c not in ("query", "depth")], "cited", "leaf", "n", "spoken")
+    for level in range(2, depth + 1):
+        fresh = levels[-1].where("first AND leaf <> '' AND leaf <> query AND left > 0")
+        frontier = fresh.select("query", F.col("leaf").alias("_leaf"), F.col("cited").alias("_cited"), F.col("at").alias("ord"), F.col("left").alias("room"))
+        for earlier in levels[:-1]:
+            known = earlier.where("first AND leaf <> '' AND left > 0").select("query", F.col("leaf").alias("_leaf"))
+            frontier = frontier.join(known, ["query", "_leaf"], "left_anti")
+        hits = frontier.join(ahead, F.col("_leaf") == F.col("name"))
+        if gated:
+            hits = hits.where(F.col("spoken").isNotNull() & (F.col("_cited").isNull() | F.array_contains("spoken", F.col("_cited"))))
+        hits = hits.drop("_leaf", "_cited", "spoken")
         if seen is not None:
-            hits = hits.join(seen, [*place], "left_anti")
-        hits = top(hits, ["query"], order, limit, "at").where(F.col("at") <= F.col("room")).withColumn("at", F.col("at").cast("long"))
-        hits = hits.withColumn("room", F.col("room") - F.count(F.lit(1)).over(Window.partitionBy("query"))).withColumn("depth", F.lit(level)).withColumn("_leaf", e.last_segment("enclosing"))
-        hits = cut(hits.select(*COLUMNS, "cited", "at", "room", "_leaf"))
-        out = hits if out is None else out.unionByName(hits)
+            hits = hits.join(seen, place, "left_anti")
+        hits = top(hits, ["query"], [F.col("ord"), F.col("n")], limit, "at").where(F.col("at") <= F.col("room")).withColumn("at", F.col("at").cast("long")).withColumn("depth", F.lit(level))
         if level == depth:
+            levels.append(hits)
             break
-        fresh = hits.where("_leaf <> '' AND room > 0").select("query", F.col("_leaf").alias("leaf"), "cited", "at", "room")
-        fresh = top(fresh, ["query", "leaf"], [F.col("at")], 1, "_first").drop("_first").join(visited, ["query", "leaf"], "left_anti")
-        if gated:
-            opened = fresh.alias("f").join(open_names.alias("o"), (F.col("f.leaf") == F.col("o.leaf")) & F.col("f.cited").eqNullSafe(F.col("o.language")), "left_semi")
-        else:
-            opened = fresh
-        frontier = cut(opened.select("query", "leaf", F.col("at").alias("ord"), "room"))
-        if frontier.isEmpty():
+        hits = written(onward(hits, "query").select(*kept), "hits")
+        levels.append(hits)
+        if hits.isEmpty():
             break
-        visited = cut(visited.unionByName(fresh.select("query", "leaf")))
-        seen = out.select(*place)
-    ranked = top(out, ["query"], [F.col("depth"), F.col("at")], limit)
-    return ranked.select(*COLUMNS, "rank").withColumn("edge_role", e.edge_role())
+    rank = (F.col("at") + F.lit(limit) - F.col("room")).cast("int").alias("rank")
+    out = reduce(DataFrame.unionByName, [x.select(*COLUMNS, rank) for x in levels])
+    return out.withColumn("edge_role", e.edge_role())
 
 
 def closure(edges: DataFrame, defined: DataFrame, most: int = 64) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +29,23 @@ def cut(df: DataFrame) -> DataFrame:
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(known or tempfile.mkdtemp(prefix="graphloom-"))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage with a table in the folder that :func:`cut` uses.
+
+    Its columns are compressed and can be left unread, which a checkpoint's rows can not. Shuffle
+    files that only this table needed are given up at once.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    known = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.graphloom.sharedDir", None)
+    if not known:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        known = tempfile.mkdtemp(prefix="graphloom-")
+        spark.conf.set("spark.graphloom.sharedDir", known)
+    path = f"{known.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    context._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)

@@ -84,6 +84,18 @@ def test_impact_is_the_queue_walk(spark, refs, symbols, depth, limit):
         assert mine == walk(refs, symbols, files, start, depth, limit)
 
 
+def test_walk_shuffles_no_wide_row_by_place(spark, monkeypatch):
+    # Bare queries can not meet a place twice: a level is one shuffle by query, and only steps and inner levels are written.
+    plans, keep = [], traverse.written
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(traverse, "written", lambda df, name: plans.append((name, plan(df))) or keep(df, name))
+    rows = [ref("a", "b"), ref("b", "c", line=2), ref("c", "d", line=3)]
+    got = traverse.impact(frame(spark, rows, s.REFS), frame(spark, [symbol("b"), symbol("c")], s.SYMBOLS), frame(spark, [file("a.ts")], s.FILES), lookup.names(spark, "a"), 3)
+    assert [(r.depth, r.name, r["rank"]) for r in got.orderBy("rank").collect()] == [(1, "a", 1), (2, "b", 2), (3, "c", 3)]
+    assert [n for n, _ in plans] == ["steps", "hits"]
+    assert not any("hashpartitioning(query" in x and "root_id" in x.split("hashpartitioning(query")[1].split(")")[0] for x in [*[p for _, p in plans], plan(got)])
+
+
 def test_gate_closes_a_leaf_for_good(spark):
     refs = [ref("c", "b", "a.py", 1), ref("c", "b", "z.ts", 2), ref("b", "a", "z.ts", 3)]
     files = [file("a.py", "python"), file("z.ts")]
