@@ -96,6 +96,36 @@ def test_walk_shuffles_no_wide_row_by_place(spark, monkeypatch):
     assert not any("hashpartitioning(query" in x and "root_id" in x.split("hashpartitioning(query")[1].split(")")[0] for x in [*[p for _, p in plans], plan(got)])
 
 
+def test_common_names_are_walked_like_others(spark, monkeypatch):
+    rows = [ref("a", f"b{i % 4}", f"p{i:02}.ts", i % 3) for i in range(30)] + [ref(f"b{i}", "c", line=i) for i in range(4)] + [ref("c", "d")] * 3
+    frames = [frame(spark, rows, s.REFS), frame(spark, [symbol(f"b{i}") for i in range(4)], s.SYMBOLS), frame(spark, [file("a.ts")], s.FILES), lookup.names(spark, "a", "c")]
+    answers = []
+    for common in (2, 100_000):
+        monkeypatch.setattr(lookup, "COMMON", common)
+        answers.append((sorted(map(repr, traverse.impact(*frames, 3, 12).collect())), sorted(map(repr, lookup.callers(frames[0], frames[3], limit=7).collect()))))
+    assert answers[0] == answers[1] and len(answers[0][1]) == 10
+
+
+def test_callers_shuffle_refs_once(spark):
+    refs = frame(spark, [ref("a", "x", line=i) for i in range(9)] + [ref("b", qualifier="T")], s.REFS)
+    got = lookup.callers(refs, lookup.names(spark, "a", "zip"), limit=4)
+    assert sorted((r.line, r["rank"]) for r in got.collect()) == [(i, i + 1) for i in range(4)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(name" in plan and "windowspecdefinition(query" not in plan and plan.count("Join Inner") == 2
+    assert [r["query"] for r in lookup.callers(refs, lookup.names(spark, "T.b", "zip")).collect()] == ["T.b"]
+
+
+def test_imports_of_a_file_are_cut_before_its_names_meet_them(spark, monkeypatch):
+    sizes, keep = [], rank.top
+    monkeypatch.setattr(rank, "top", lambda rows, *a: sizes.append(rows.count()) or keep(rows, *a))
+    symbols = frame(spark, [symbol(f"n{i}", "m.ts", line=i) for i in range(40)], s.SYMBOLS)
+    refs = frame(spark, [ref("m", path=f"p{i % 5}.ts", line=i, kind="import", resolved="m.ts") for i in range(60)], s.REFS)
+    got = rank.related_files(symbols, refs, symbols.selectExpr("name AS query"), 3).collect()
+    # 30 of the 60 rows count: 12 of p0, 12 of p1 and 6 of p2.
+    assert {(r.path, r.score) for r in got} == {("p0.ts", 36), ("p1.ts", 36), ("p2.ts", 18)} and len(got) == 120
+    assert max(sizes) < 40 * 30
+
+
 def test_gate_closes_a_leaf_for_good(spark):
     refs = [ref("c", "b", "a.py", 1), ref("c", "b", "z.ts", 2), ref("b", "a", "z.ts", 3)]
     files = [file("a.py", "python"), file("z.ts")]
