@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.functions import exprs as e
-from graphloom.operators.lookup import PLACE, in_root, keyed, matches, top
+from graphloom.operators.lookup import PLACE, by_name, in_root, keyed, matches, top
 from graphloom.session import cut, written
 
 COLUMNS = ("query", "depth", "name", "kind", "path", "line", "root_id", "enclosing", "resolved", "confidence", "rule_id")
@@ -39,8 +39,7 @@ def placed(edges: DataFrame, limit: int) -> DataFrame:
     """Of each name the first edge of each of its first ``limit`` places, numbered from 1 by ``n``.
 
     A place is a line of a file. Its edges follow each other in the canonical order, so a rank of
-    places is enough, and Spark cuts by that rank before it shuffles: the refs of a very common
-    name do not meet in one task. One shuffle by name serves all windows here.
+    places is enough. One shuffle by name serves all windows here.
     """
     by_place = ["root_id", "path", "line"]
     got = edges.withColumn("n", F.dense_rank().over(Window.partitionBy("name").orderBy(*by_place))).where(F.col("n") <= limit)
@@ -73,9 +72,14 @@ def impact(refs: DataFrame, symbols: DataFrame, files: DataFrame, queries: DataF
     edges = edges.select("name", "kind", "path", "line", "root_id", "enclosing", "resolved", "confidence", "rule_id", "qualifier", "qual_name", "leaf")
     one_language = files.groupBy("path").agg(F.min("language").alias("cited"))
     edges = edges.join(one_language, "path", "left") if gated else edges.withColumn("cited", F.lit(None).cast("string"))
-    steps = placed(edges.drop("qualifier", "qual_name"), limit).join(names, "name")
-    steps = steps.join(gate_languages(symbols, files), "name", "left") if gated else steps.withColumn("spoken", F.lit(None).cast("array<string>"))
-    steps = onward(steps.withColumn("at", F.col("n")).withColumn("room", F.lit(limit).cast("long")), "name")
+    spoken = gate_languages(symbols, files) if gated else None
+
+    def settled(rows: DataFrame) -> DataFrame:
+        got = placed(rows, limit).join(names, "name")
+        got = got.join(spoken, "name", "left") if gated else got.withColumn("spoken", F.lit(None).cast("array<string>"))
+        return onward(got.withColumn("at", F.col("n")).withColumn("room", F.lit(limit).cast("long")), "name")
+
+    steps = by_name(edges.drop("qualifier", "qual_name"), settled)
     steps = written(steps, "steps")
     kept = [*COLUMNS, "cited", "leaf", "at", "room", "left", "first"]
     levels = [steps.where("asked").withColumn("query", F.col("name")).withColumn("depth", F.lit(1)).select(*kept)]
