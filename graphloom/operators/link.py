@@ -141,6 +141,7 @@ def link_packages(refs: DataFrame, aliases: DataFrame, files: DataFrame) -> Data
     those below it; the greatest key wins, so a subpath overrides its package. Where no key does,
     the longest wildcard (ending in ``*``) gives a file that its root has, or nothing. An import
     under several keys meets each of its own prefixes once, so the join is an equi-join.
+    Only imports are joined, in one join, which Spark can split where a module is very common.
     """
     exact = aliases.where(~F.col("package").endswith("*"))
     target = F.coalesce("barrel", "entry", F.concat(F.lit("@alias:"), "package", F.lit("→"), "root_id"))
@@ -152,10 +153,12 @@ def link_packages(refs: DataFrame, aliases: DataFrame, files: DataFrame) -> Data
     rows = wild.where("target IS NOT NULL").select("module", "root_id", F.posexplode(F.array(*[F.concat(base, F.lit(t)) for t in ALIAS_TAILS])).alias("pos", "file"))
     probe = rows.join(files.select("root_id", F.col("path").alias("file")), ["root_id", "file"]).groupBy("module").agg(F.min_by("file", "pos").alias("_file"))
     starred = wild.select("module", F.lit(True).alias("_w")).join(probe, "module", "left")
-    rows = refs.join(found, "module", "left").join(starred, "module", "left")
+    targets = found.join(starred, "module", "full")
     package = F.when(F.col("_exact").isNotNull(), F.col("_exact")).when(F.col("_w"), F.col("_file")).otherwise(F.col("resolved"))
-    rows = rows.withColumn("resolved", F.when(F.col("kind") == "import", package).otherwise(F.col("resolved")))
-    return rows.select(*refs.columns)
+    # Other rows keep what they have. In the join, all without a module would meet in one task.
+    imported = F.coalesce((F.col("kind") == "import") & F.col("module").isNotNull(), F.lit(False))
+    rows = refs.where(imported).join(targets, "module", "left").withColumn("resolved", package)
+    return refs.where(~imported).unionByName(rows.select(*refs.columns))
 
 
 TS_TAILS = ("", ".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.mts", "/index.cts", "/index.js", "/index.jsx", "/index.mjs", "/index.cjs", ".d.ts")

@@ -196,6 +196,19 @@ def test_package_keys(spark):
     assert marked == {m: m in ("@A/P", "lodash") for m in got}
 
 
+def test_rows_without_a_module_do_not_meet_in_one_task(spark):
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        aliases = frame(spark, [("pkg", "r1", None, "b.ts", "j")], s.ALIASES)
+        refs = frame(spark, [ref(f"n{i}") for i in range(40)] + [ref("x", kind="import", module="pkg/a"), ref("y", kind="call", module="pkg", resolved="own.ts")], s.REFS).repartition(4)
+        for got in (link.link_packages(refs, aliases, frame(spark, [], s.FILES)), lookup.external_dependency(refs, aliases)):
+            assert got.count() == 42 and got.where("module IS NULL").selectExpr("spark_partition_id() AS p").distinct().count() == 4
+        assert {r.name: r.resolved for r in link.link_packages(refs, aliases, frame(spark, [], s.FILES)).where("module IS NOT NULL").collect()} == {"x": "b.ts", "y": "own.ts"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+
+
 def test_importers_of_deep_paths(spark):
     aliases = frame(spark, [("pkg", "r1", None, "b.ts", "j")], s.ALIASES)
     rows = [ref("x", line=i, kind="import", module=m, resolved=t) for i, (m, t) in enumerate([("pkg/a/b/c", None), ("pkg/a", None), ("pkg/ab", None), ("./q", "b.ts")])]
