@@ -36,35 +36,46 @@ def link_symbols(refs: DataFrame, symbols: DataFrame, write_root: str = "") -> D
     name, also when a qualifier found nothing. Within a tier the own (or written) root wins,
     then the own file, then the least path, root, line and qualified name.
 
-    Candidates are reduced before the join where they can be: a ref needs, per key, the best
-    symbol in its file, in its root, in the written root and anywhere; each is one row per
-    key, so a name that is defined ten thousand times does not multiply its refs.
+    A first pass finds the tier of each ref, with the least place of its key: one join by
+    qualifier and name, for refs that have a qualifier, and one by name. Only where keys are
+    defined more than once do roots and files matter. Refs of such keys meet the best symbol of
+    their key in their file, in their root and in the written root, each one row per key, so a
+    name that is defined ten thousand times does not multiply its refs.
     """
     d = symbols.select("root_id", "path", "name", "qualified_name", "start_line")
     place = F.struct("path", "root_id", "start_line", "qualified_name", "name").alias("place")
-
-    def best(key: str, by: list[str]) -> DataFrame:
-        return d.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key"), *by).agg(F.min(place).alias("place"))
-
+    # src tells keys of the two kinds apart: qualified names and bare ones.
+    keys = d.where("qualified_name IS NOT NULL").select(F.lit(0).alias("src"), F.col("qualified_name").alias("key"), "root_id", place)
+    keys = keys.unionByName(d.where("name IS NOT NULL").select(F.lit(1).alias("src"), F.col("name").alias("key"), "root_id", place))
+
+    def least(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("src", "key").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("defs"))
+
+    # What a qualified name is the qualifier and the name of, by the place of the sign between.
+    cuts = [f"transform(filter(sequence(2, greatest(length(key), 2)), p -> substring(key, p, {len(sign)}) = '{sign}'), p -> named_struct('qualifier', substring(key, 1, p - 1), 'name', substring(key, p + {len(sign)}), 'tier', {tier}))" for tier, sign in enumerate((".", "::"))]
+    full = least(keys.where("src = 0 AND (instr(key, '.') > 1 OR instr(key, '::') > 1)")).withColumn("c", F.explode(F.concat(*[F.expr(x) for x in cuts])))
+    full = full.groupBy("c.qualifier", "c.name").agg(F.min(F.struct("c.tier", "src", "key", "place", "defs")).alias("_q"))
+    bare = least(keys.where("src = 1")).select(F.col("key").alias("name"), F.struct(F.lit(2).alias("tier"), "src", "key", "place", "defs").alias("_n"))
     has = F.coalesce("qualifier", F.lit("")) != ""
-    keys = [
-        ("qualified_name", F.when(has, F.concat("qualifier", F.lit("."), "name"))),
-        ("qualified_name", F.when(has, F.concat("qualifier", F.lit("::"), "name"))),
-        ("name", F.col("name")),
-    ]
-    out, choices = refs, []
-    for tier, (source, key) in enumerate(keys):
-        out = out.withColumn(f"_key{tier}", key)
-        for kind, by in (("file", ["root_id", "path"]), ("root", ["root_id"]), ("any", [])):
-            pick = best(source, by).select(F.col("_key").alias(f"_key{tier}"), *by, F.col("place").alias(f"_p{tier}{kind}"))
-            out = out.join(pick, [f"_key{tier}", *by], "left")
-        written = best(source, ["root_id"]).where(F.col("root_id") == write_root).select(F.col("_key").alias(f"_key{tier}"), F.col("place").alias(f"_p{tier}written"))
-        out = out.join(written, f"_key{tier}", "left")
-        # Both roots count alike; between them the place decides.
-        roots = F.least(F.col(f"_p{tier}root"), F.col(f"_p{tier}written"))
-        choices += [F.col(f"_p{tier}file"), roots, F.col(f"_p{tier}any")]
-    got = F.coalesce(*choices)
-    return out.select(*refs.columns, got["root_id"].alias("symbol_root"), got["path"].alias("symbol_path"), got["qualified_name"].alias("symbol_name"))
+    none = F.lit(None).cast(full.schema["_q"].dataType)
+    out = refs.where(~has).withColumn("_q", none).unionByName(refs.where(has).join(full, ["qualifier", "name"], "left").select(*refs.columns, "_q"))
+    out = out.join(bare, "name", "left").select(*refs.columns, F.coalesce("_q", "_n").alias("_hit"))
+
+    def shown(rows: DataFrame, got) -> DataFrame:
+        return rows.select(*refs.columns, got["root_id"].alias("symbol_root"), got["path"].alias("symbol_path"), got["qualified_name"].alias("symbol_name"))
+
+    several = keys.groupBy("src", "key").count().where("count > 1").select("src", "key")
+    if several.isEmpty():
+        return shown(out, F.col("_hit.place"))
+    sole = F.coalesce(F.col("_hit.defs"), F.lit(1)) == 1
+    rows, again = out.where(~sole).withColumn("src", F.col("_hit.src")).withColumn("key", F.col("_hit.key")), keys.join(several, ["src", "key"], "left_semi")
+    in_file = again.groupBy("src", "key", "root_id", F.col("place.path").alias("path")).agg(F.min("place").alias("_file"))
+    in_root = again.groupBy("src", "key", "root_id").agg(F.min("place").alias("_root"))
+    in_written = in_root.where(F.col("root_id") == write_root).select("src", "key", F.col("_root").alias("_written"))
+    rows = rows.join(in_file, ["src", "key", "root_id", "path"], "left").join(in_root, ["src", "key", "root_id"], "left").join(in_written, ["src", "key"], "left")
+    # Both roots count alike; between them the place decides.
+    best = F.coalesce(F.col("_file"), F.least("_root", "_written"), F.col("_hit.place"))
+    return shown(out.where(sole), F.col("_hit.place")).unionByName(shown(rows, best))
 
 
 def variable_types(refs: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -167,6 +167,14 @@ def test_linking_tiers(spark):
     assert got == [("T.m", "a.ts"), ("U::m", "b.ts"), ("U::m", "b.ts"), ("n", "b.ts"), ("n", "a.ts"), (None, None)]
 
 
+def test_linking_joins_refs_once_a_key(spark):
+    symbols = frame(spark, [symbol("m", "a.ts", "r", qualified="a.T.m"), symbol("n", "b.ts", "q", qualified="U::V.n"), symbol("z", "c.ts", qualified="..z")], s.SYMBOLS)
+    rows = [ref("m", qualifier="a.T"), ref("T.m", qualifier="a"), ref("V.n", qualifier="U"), ref("n", qualifier="U::V"), ref("z", qualifier="."), ref(".z", qualifier="."), ref("none", qualifier="T"), ref("n", qualifier="")]
+    got = link.link_symbols(frame(spark, rows, s.REFS), symbols)
+    assert {(r.qualifier, r.name): r.symbol_name for r in got.collect()} == {("a.T", "m"): "a.T.m", ("a", "T.m"): "a.T.m", ("U", "V.n"): "U::V.n", ("U::V", "n"): "U::V.n", (".", "z"): "..z", (".", ".z"): None, ("T", "none"): None, ("", "n"): "U::V.n"}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+
+
 def test_qualifiers_need_one_factory_of_the_directory(spark):
     symbols = [symbol("make", "d/a.go", returns="T"), symbol("two", "d/a.go", returns="T"), symbol("two", "d/b.go", returns="T"), symbol("far", "e/a.go", returns="T"), symbol("S", "d/a.go", kind="struct")]
     refs = [ref(v, path="d/m.go", kind="define", module=m) for v, m in (("x", "make"), ("y", "two"), ("z", "far"), ("S", "make"))]
