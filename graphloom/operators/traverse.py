@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from graphloom.functions import exprs as e
 from graphloom.operators.lookup import PLACE, by_name, in_root, keyed, matches, top
-from graphloom.session import cut, written
+from graphloom.session import written
 
 COLUMNS = ("query", "depth", "name", "kind", "path", "line", "root_id", "enclosing", "resolved", "confidence", "rule_id")
 
@@ -121,17 +121,27 @@ def closure(edges: DataFrame, defined: DataFrame, most: int = 64) -> DataFrame:
     """Pairs (a, b) such that b can be called from a through defined names.
 
     ``edges`` (caller, callee), ``defined`` (name). Paths double each round, so rounds grow
-    with the logarithm of the longest chain; a round joins only pairs that the last one found.
+    with the logarithm of the longest chain. A round joins what the last one found to all pairs
+    behind it, and then older pairs to it, so no two pairs are joined twice. Only pairs that can
+    go on are joined: ``into`` says that a is called, ``on`` that b calls. Pairs of a round are
+    written once and never again.
     """
-    ok = edges.join(defined.withColumnRenamed("name", "callee"), "callee", "left_semi").join(defined.withColumnRenamed("name", "caller"), "caller", "left_semi")
-    paths = fresh = cut(ok.select(F.col("caller").alias("a"), F.col("callee").alias("b")).distinct())
+    said = [defined.select("name", F.lit(True).alias("known"), F.lit(False).alias("calls"), F.lit(False).alias("called"))]
+    said += [edges.select(F.col(c).alias("name"), F.lit(False), F.lit(c == "caller"), F.lit(c == "callee")) for c in ("caller", "callee")]
+    nodes = reduce(DataFrame.union, said).groupBy("name").agg(*[F.max(c).alias(c) for c in ("known", "calls", "called")]).where("known")
+    ok = edges.distinct().join(nodes.select(F.col("name").alias("callee"), F.col("calls").alias("on")), "callee").join(nodes.select(F.col("name").alias("caller"), F.col("called").alias("into")), "caller")
+    rounds = [written(ok.select(F.col("caller").alias("a"), F.col("callee").alias("b"), "into", "on"), "paths")]
     for _ in range(most):
-        left, right = (paths.select(F.col("a").alias("m"), F.col("b").alias("z")), paths.select(F.col("a").alias("w"), F.col("b").alias("m")))
-        ahead = fresh.withColumnRenamed("b", "m").join(left, "m").select("a", F.col("z").alias("b"))
-        behind = fresh.withColumnRenamed("a", "m").join(right, "m").select(F.col("w").alias("a"), "b")
-        known = paths.select(F.col("a").alias("ka"), F.col("b").alias("kb"))
-        fresh = cut(ahead.union(behind).distinct().join(known, (F.col("a") == F.col("ka")) & (F.col("b") == F.col("kb")), "left_anti"))
-        if fresh.isEmpty():
+        fresh, older, paths = rounds[-1], rounds[:-1], reduce(DataFrame.union, rounds)
+        if fresh.where("into OR on").isEmpty():
             break
-        paths = cut(paths.union(fresh))
-    return paths
+        after = paths.where("into").select(F.col("a").alias("m"), F.col("b").alias("z"), F.col("on").alias("zon"))
+        found = fresh.where("on").select("a", F.col("b").alias("m"), "into").join(after, "m").select("a", "z", "into", "zon")
+        if older:
+            before = reduce(DataFrame.union, older).where("on").select(F.col("a").alias("w"), F.col("b").alias("m"), F.col("into").alias("win"))
+            found = found.union(fresh.where("into").select(F.col("a").alias("m"), "b", "on").join(before, "m").select("w", "b", "win", "on"))
+        # One shuffle makes pairs distinct and drops those that are known.
+        tagged = found.toDF("a", "b", "into", "on").withColumn("new", F.lit(True)).union(paths.withColumn("new", F.lit(False)))
+        got = tagged.groupBy("a", "b").agg(F.max("into").alias("into"), F.max("on").alias("on"), F.min("new").alias("new"))
+        rounds.append(written(got.where("new").drop("new"), "paths"))
+    return reduce(DataFrame.union, rounds).select("a", "b")

@@ -286,6 +286,14 @@ def test_closure(spark, edges, defined):
     assert got == want
 
 
+def test_closure_stops_when_no_pair_goes_on(spark, monkeypatch):
+    rounds, keep = [], traverse.written
+    monkeypatch.setattr(traverse, "written", lambda df, name: rounds.append(df) or keep(df, name))
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "c"), ("x", None), ("q", "c")], "caller string, callee string")
+    got = traverse.closure(edges, spark.createDataFrame([(n,) for n in "aabcx"], "name string"))
+    assert sorted(map(tuple, got.collect())) == [("a", "b"), ("a", "c"), ("b", "c"), ("x", "c")] and len(rounds) == 2
+
+
 def test_expressions(spark):
     row = spark.createDataFrame([("A.b::c", "src/x/../y/./z.test.ts", "@s/p/q", ".\\a//b")], "n string, p string, m string, i string").select(
         e.last_segment("n").alias("a"), e.repo_path("p").alias("b"), e.package_of("m").alias("c"), e.import_path("i").alias("d"), e.base_stem("p").alias("f"), e.language("p").alias("g"), e.path_penalty("p").alias("h"), e.top_dir("p").alias("i"), e.directory("p").alias("j"), e.percent_encoded("m").alias("k")
