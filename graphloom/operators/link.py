@@ -232,12 +232,16 @@ def unique_definition(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """The definition that an export may name: the only one of its name, or the only one that
     the ref's qualifier fits. Refs without such a definition are dropped."""
     d = symbols.select(F.col("name"), F.col("root_id").alias("symbol_root"), F.col("path").alias("symbol_path"), F.col("qualified_name").alias("symbol_name"), F.col("parent").alias("_parent"), F.col("start_line").alias("symbol_line"))
-    once = symbols.groupBy("name").agg(F.count(F.lit(1)).alias("_n"))
-    bare = d.join(once.where("_n = 1"), "name").drop("_n", "_parent")
-    single = with_id(refs).join(bare, "name")
-    many = with_id(refs).where("qualifier IS NOT NULL AND qualifier <> ''").join(once.where("_n > 1").select("name"), "name", "left_semi")
+    counts = symbols.groupBy("name").agg(F.count(F.lit(1)).alias("_n"))
+    # Of a name that is defined once, the least of each column is its own.
+    sole = d.drop("_parent").groupBy("name").agg(F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(c) for c in d.columns if c not in ("name", "_parent")]).where("_n = 1").drop("_n")
+    single = refs.join(sole, "name")
+    several = counts.where("_n > 1").select("name")
+    if several.isEmpty():
+        return single
+    many = with_id(refs).where("qualifier IS NOT NULL AND qualifier <> ''").join(several, "name", "left_semi")
     q, n, full = F.col("qualifier"), F.col("name"), F.col("symbol_name")
     fits = reduce(lambda a, b: a | b, [(full == F.concat(q, F.lit(x), n)) | full.endswith(F.concat(F.lit(y), q, F.lit(x), n)) for x, y in ((".", "."), ("::", "::"))], F.coalesce(F.col("_parent") == q, F.lit(False)))
     fitted = many.join(d, "name").where(fits).drop("_parent")
     picked = fitted.groupBy("ref_id").agg(F.count_distinct("symbol_root", "symbol_path", "symbol_name", "symbol_line").alias("_n")).where("_n = 1").select("ref_id")
-    return single.unionByName(fitted.join(picked, "ref_id", "left_semi")).drop("ref_id")
+    return single.unionByName(fitted.join(picked, "ref_id", "left_semi").drop("ref_id"))

@@ -294,6 +294,15 @@ def test_closure_stops_when_no_pair_goes_on(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == [("a", "b"), ("a", "c"), ("b", "c"), ("x", "c")] and len(rounds) == 2
 
 
+def test_exports_join_names_defined_once_by_one_join(spark):
+    rows, once = frame(spark, [ref("m", qualifier="T"), ref("n"), ref("zip")], s.REFS), [symbol("n", "b.ts", qualified="U.n", line=4)]
+    got = link.unique_definition(rows, frame(spark, [*once, symbol("m", "a.ts", qualified="T.m")], s.SYMBOLS))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert {(r.name, r.symbol_path, r.symbol_name, r.symbol_line) for r in got.collect()} == {("m", "a.ts", "T.m", 1), ("n", "b.ts", "U.n", 4)}
+    got = link.unique_definition(rows, frame(spark, [*once, symbol("m", "a.ts", qualified="T.m"), symbol("m", "a.ts", qualified="V.m")], s.SYMBOLS))
+    assert {(r.name, r.symbol_path, r.symbol_name, r.symbol_line) for r in got.collect()} == {("m", "a.ts", "T.m", 1), ("n", "b.ts", "U.n", 4)}
+
+
 def test_expressions(spark):
     row = spark.createDataFrame([("A.b::c", "src/x/../y/./z.test.ts", "@s/p/q", ".\\a//b")], "n string, p string, m string, i string").select(
         e.last_segment("n").alias("a"), e.repo_path("p").alias("b"), e.package_of("m").alias("c"), e.import_path("i").alias("d"), e.base_stem("p").alias("f"), e.language("p").alias("g"), e.path_penalty("p").alias("h"), e.top_dir("p").alias("i"), e.directory("p").alias("j"), e.percent_encoded("m").alias("k")
